@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from tandemlens.plans.catalog import QUERIES, SQL, Query
 
-FAMILIES = ("evaluation", "profiling", "corpora")
+FAMILIES = ("evaluation", "profiling", "corpora", "graphs")
 
 
 @dataclass(frozen=True)

@@ -233,14 +233,13 @@ def sample_profile(spark, root):
     f"""
 SELECT head || ' -> ' || relation || ' -> ' || tail AS triple,
   upper(split) AS split, upper(substr(relation, 1, 1)) || replace(substr(relation, 2), '_', ' ')
-  AS relation FROM {TRIPLES_SQL} WHERE relation IN ('placed_by')"""
+  AS relation FROM {TRIPLES_SQL}"""
 )
 def display_triples(spark, root):
-    """Triples as display text, for one relation."""
-    facts = triples(spark, root).where(F.col("relation") == "placed_by")
+    """Triples as display text."""
     title = F.replace("relation", F.lit("_"), F.lit(" "))
     first = F.concat(F.upper(F.substring(title, 1, 1)), F.expr("substring(relation, 2)"))
-    return facts.select(
+    return triples(spark, root).select(
         F.concat_ws(" -> ", "head", "relation", "tail").alias("triple"),
         F.upper("split").alias("split"),
         F.replace(first, F.lit("_"), F.lit(" ")).alias("relation"),
