@@ -7,7 +7,19 @@ from dataclasses import dataclass
 
 from tandemlens.plans.catalog import QUERIES, SQL, Query
 
-FAMILIES = ("evaluation", "profiling", "corpora", "graphs")
+FAMILIES = (
+    "evaluation",
+    "profiling",
+    "corpora",
+    "graphs",
+    "tracking",
+    "readiness",
+    "limits",
+    "files",
+    "neural",
+    "statistics",
+    "streams",
+)
 
 
 @dataclass(frozen=True)
