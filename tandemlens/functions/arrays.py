@@ -16,7 +16,7 @@ def pad_or_cut(col: Column, size: int, fill: Column) -> Column:
 def attention_mask(col: Column, size: int) -> Column:
     """1 for each real token, 0 for each padded place."""
     real = F.least(F.size(col), F.lit(size))
-    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: (i <= real).cast("int"))
+    return F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(size) - real))
 
 
 def span_text(tokens: Column, start: Column, end: Column) -> Column:

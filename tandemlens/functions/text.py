@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 
 # Whitespace as a Unicode-aware split sees it (the four separators
 # 1C-1F count as whitespace there but not in Java's class).
-SPACE = r"[\s\x1c-\x1f]"
 WORD = r"(?U)[^\s\x1c-\x1f]+"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def text_or_empty(col: Column | str) -> Column:
@@ -20,7 +23,8 @@ def text_or_empty(col: Column | str) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    """Whitespace removed from both ends."""
+    return F.btrim(col, F.lit(SPACES))
 
 
 def is_blank(col: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemlens.functions.arrays import pad_or_cut
 from tandemlens.operators.ordered import lookup, running_totals, top_per_group
+from tandemlens.session import durable
 
 MAX_ENTITIES = 10  # fixed value: linked entities per text
 
@@ -20,6 +21,7 @@ def _dense_ids(places: DataFrame, name: str) -> DataFrame:
         .groupBy(name)
         .agg(F.min("place").alias("place"))
     )
+    first = durable(first, "first-places")
     # Ties cannot occur: a place belongs to one mention. The name makes that explicit.
     return running_totals(first, [], [F.col("place"), F.col(name)], rank="id").select(name, "id")
 
@@ -47,7 +49,8 @@ def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> Dat
     tails = entities.select(F.col("entity").alias("tail"), F.col("id").alias("dst"))
     rels = relations.select("relation", F.col("id").alias("rel"))
     known = triples.select("pos", "head", "relation", "tail").join(rels, "relation")
-    known = lookup(lookup(known, heads, "head"), tails, "tail")
+    known = lookup(known, heads, "head", keys_of=triples)
+    known = lookup(known, tails, "tail", keys_of=triples)
     return known.select("pos", "src", "rel", "dst")
 
 
@@ -58,7 +61,9 @@ def with_labels(triples: DataFrame, entities: DataFrame, relations: DataFrame) -
     rels = relations.select(
         F.col("relation_id").alias("relation"), F.col("relation_name").alias("_r")
     )
-    found = lookup(lookup(triples.join(rels, "relation", "left"), heads, "head", "left"), tails, "tail", "left")
+    found = triples.join(rels, "relation", "left")
+    found = lookup(found, heads, "head", "left", keys_of=triples)
+    found = lookup(found, tails, "tail", "left", keys_of=triples)
     return found.select(
         *triples.columns,
         F.coalesce("_h", "head").alias("head_label"),
@@ -81,20 +86,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def link_entities(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+def link_entities(texts: DataFrame, tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """Ids of the first ten known words of every text, padded with 0.
 
-    `tokens` holds (key, pos, word), `vocab` (word, id). Only the first ten links
-    of a text are shuffled, so a long text does not become a long list.
+    `texts` holds every key, `tokens` (key, pos, word), `vocab` (word, id). Only the
+    first ten links of a text are shuffled, so a long text does not become a long list.
     """
     hits = lookup(tokens, vocab, "word")
     first = top_per_group(hits, [key], [F.col("pos")], MAX_ENTITIES, "_place")
     linked = first.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_place", "id"))).alias("_found")
     )
-    texts = tokens.select(key).distinct()
-    ids = F.transform(F.coalesce("_found", F.array().cast(linked.schema["_found"].dataType)), lambda x: x["id"])
-    return texts.join(linked, key, "left").select(
+    nothing = F.array().cast(linked.schema["_found"].dataType)
+    ids = F.transform(F.coalesce("_found", nothing), lambda x: x["id"])
+    return texts.select(key).join(linked, key, "left").select(
         key,
         F.size(ids).alias("n_links"),
         pad_or_cut(ids, MAX_ENTITIES, F.lit(0).cast("long")).alias("entity_ids"),

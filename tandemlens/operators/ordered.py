@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlens.session import durable, split_rows
+from tandemlens.session import durable, fits_broadcast, split_rows
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -121,14 +121,24 @@ def top_per_group(
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
-def lookup(big: DataFrame, dim: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def lookup(
+    big: DataFrame,
+    dim: DataFrame,
+    on: str,
+    how: str = "inner",
+    keys_of: DataFrame | None = None,
+) -> DataFrame:
     """Equi-join `big` with a dimension that is unique on `on`, safe for a hot key in `big`.
 
-    Hot keys are few (count / split size), so only their dimension rows meet the
-    hot rows, a table Spark can broadcast by its size; the rest joins as usual.
+    A dimension counted as small is broadcast, where skew does not matter. Beyond
+    that, hot keys are looked for (in `keys_of`, if that is cheaper to scan than
+    `big`): they are few (count / split size), so only their dimension rows meet
+    the hot rows, a table Spark can broadcast by its size; the rest joins as usual.
     """
+    if fits_broadcast(dim):
+        return big.join(F.broadcast(dim), on, how)
     limit = split_rows(big.sparkSession)
-    hot = durable(hot_groups(big, [on], limit).select(on), "hot-keys")
+    hot = durable(hot_groups(big if keys_of is None else keys_of, [on], limit).select(on), "hot-keys")
     if hot.isEmpty():
         return big.join(dim, on, how)
     hot_dim = durable(dim.join(hot, on, "left_semi"), "hot-dim")

@@ -11,6 +11,7 @@ from tandemlens.functions.arrays import (
     span_text,
     span_text_loose,
 )
+from tandemlens.functions.frames import evaluated_once
 from tandemlens.functions.text import text_or_empty
 from tandemlens.operators.ordered import lookup, running_totals, top_per_group
 
@@ -45,11 +46,13 @@ def nq_record(df: DataFrame) -> DataFrame:
 
     Rows without a question or with neither kind of answer are dropped.
     """
-    tokens = F.transform("tokens", lambda t: t["token"])
-    rows = df.where(text_or_empty("question") != "").select(
-        "*",
-        span_answers(tokens, F.col("short_spans")).alias("short_answers"),
-        span_answers(tokens, F.col("long_spans"), LONG_ANSWER_CHARS).alias("long_answers"),
+    words = df.where(text_or_empty("question") != "").withColumn(
+        "tokens", F.transform("tokens", lambda t: t["token"])
+    )
+    rows = evaluated_once(
+        words,
+        short_answers=span_answers(F.col("tokens"), F.col("short_spans")),
+        long_answers=span_answers(F.col("tokens"), F.col("long_spans"), LONG_ANSWER_CHARS),
     )
     short, long = F.size("short_answers") > 0, F.size("long_answers") > 0
     return rows.where(short | long).select(

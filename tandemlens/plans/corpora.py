@@ -12,11 +12,12 @@ from tandemlens.functions.arrays import (
     selected_texts,
     struct_of_lists_to_list,
 )
+from tandemlens.functions.frames import evaluated_once
 from tandemlens.functions.text import text_or_empty, words
 from tandemlens.operators import qa
 from tandemlens.operators.ordered import running_totals
 from tandemlens.plans.catalog import query
-from tandemlens.plans.inputs import QA_SQL, qa_examples, qa_turns
+from tandemlens.plans.inputs import QA_SQL, documents, qa_examples, qa_turns
 from tandemlens.sources.tables import table
 
 TOKENS_SQL = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
@@ -60,7 +61,7 @@ WHERE len(list_filter(a, lambda x: x <> '')) > 0"""
 def answer_clean(spark, root):
     """The lines of a document as its answers: empty ones go, and so do records left without."""
     answers = F.split("text", "\n", -1)
-    records = table(spark, root, "documents").select("doc_id", answers.alias("answers"))
+    records = documents(spark, root, "doc_id", "text").select("doc_id", answers.alias("answers"))
     kept = qa.marco_record(records.withColumn("raw", F.size("answers")))
     return kept.select(
         "doc_id",
@@ -85,7 +86,8 @@ def _spans(spark, root):
             F.struct(start.cast("int").alias("start_token"), end.cast("int").alias("end_token"))
         )
 
-    return table(spark, root, "documents").select(
+    docs = documents(spark, root, "doc_id", "text", "source", "n_chars")
+    return docs.select(
         F.col("doc_id").alias("example_id"),
         F.concat(F.lit("question "), "doc_id").alias("question"),
         F.transform(words(F.col("text")), lambda t: F.struct(t.alias("token"))).alias("tokens"),
@@ -127,9 +129,9 @@ FROM {SPANS_SQL} WHERE s1 < n AND e1 <= n"""
 def span_detokenise_loose(spark, root):
     """The looser guard keeps empty spans as empty strings."""
     tokens = F.transform("tokens", lambda t: t["token"])
-    found = _spans(spark, root).select(
-        "example_id", qa.span_answers(tokens, F.col("short_spans"), loose=True).alias("found")
-    )
+    spans = _spans(spark, root).withColumn("tokens", tokens)
+    texts = qa.span_answers(F.col("tokens"), F.col("short_spans"), loose=True)
+    found = evaluated_once(spans, found=texts)
     return found.where(F.size("found") > 0).select(
         "example_id", F.get("found", F.lit(0)).alias("short_answer")
     )
@@ -142,7 +144,7 @@ FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)"""
 )
 def token_cap(spark, root):
     """The first 100 tokens are the feature here, not the whole text."""
-    capped = table(spark, root, "documents").select(
+    capped = documents(spark, root, "doc_id", "text").select(
         "doc_id", F.slice(words(F.col("text")), 1, 100).alias("tokens")
     )
     return capped.select(
@@ -217,7 +219,7 @@ FROM (SELECT doc_id, {LINES_SQL} AS a FROM documents)"""
 def passages_shape(spark, root):
     """Parallel passage lists to a list of structs, and the texts of the selected ones."""
     passages = struct_of_lists_to_list(F.split("text", "\n", -1))
-    rows = table(spark, root, "documents").select("doc_id", passages.alias("passages"))
+    rows = documents(spark, root, "doc_id", "text").select("doc_id", passages.alias("passages"))
     chosen = selected_texts(F.col("passages"))
     return rows.select(
         "doc_id",
@@ -356,11 +358,14 @@ def qa_features(spark, root):
         words(F.lower(F.col("question"))),
         lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % VOCAB_SIZE + 1,
     )
-    features = qa_examples(spark, root).select(
+    encoded = qa_examples(spark, root).select(
+        "example_id", qa.label(F.col("answers")).alias("label"), ids.alias("ids")
+    )
+    features = encoded.select(
         "example_id",
-        qa.label(F.col("answers")).alias("label"),
-        pad_or_cut(ids, MAX_LENGTH, F.lit(0).cast("long")).alias("input_ids"),
-        attention_mask(ids, MAX_LENGTH).alias("attention_mask"),
+        "label",
+        pad_or_cut(F.col("ids"), MAX_LENGTH, F.lit(0).cast("long")).alias("input_ids"),
+        attention_mask(F.col("ids"), MAX_LENGTH).alias("attention_mask"),
     )
     total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)
     return features.select(

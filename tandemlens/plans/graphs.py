@@ -10,6 +10,7 @@ from tandemlens.plans.catalog import query, rnd
 from tandemlens.plans.inputs import (
     LABELS_SQL,
     TRIPLES_SQL,
+    documents,
     entity_labels,
     token_rows,
     token_rows_sql,
@@ -115,8 +116,9 @@ def entity_linking(spark, root):
     first = items.select("word", place).groupBy("word").agg(F.min("place").alias("place"))
     vocab = running_totals(first, [], [F.col("place"), F.col("word")], rank="id")
     vocab = durable(vocab.select("word", "id"), "word-ids")
-    tokens = token_rows(table(spark, root, "documents"), "doc_id", "text")
-    linked = graph.link_entities(tokens, vocab, "doc_id")
+    tokens = token_rows(documents(spark, root, "doc_id", "text"), "doc_id", "text")
+    texts = table(spark, root, "documents")
+    linked = graph.link_entities(texts, tokens, vocab, "doc_id")
     total = F.aggregate("entity_ids", F.lit(0).cast("long"), lambda s, x: s + x)
     return linked.select(
         "doc_id",

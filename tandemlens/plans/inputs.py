@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemlens.functions.text import words
-from tandemlens.sources.tables import table
+from tandemlens.sources.tables import spread, table
 
 PREDICTIONS_SQL = """(
   SELECT *, (kg + dense) / 2e0 AS fusion, (kg + 3e0 * dense) / 4e0 AS fusion_gated FROM (
@@ -212,6 +212,11 @@ def epoch_means(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The text table, dealt out to all cores."""
+    return spread(table(spark, root, "documents").select(*columns))
+
+
 def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, word), lower-cased."""
     return df.select(key, F.posexplode(words(F.lower(F.col(text)))).alias("pos", "word"))

@@ -14,7 +14,7 @@ from tandemlens.functions.encoders import hashed_mean
 from tandemlens.functions.vectors import as_double, cosine, sigmoid
 from tandemlens.operators import binary, fusion, graph
 from tandemlens.plans.catalog import query, rnd, rounded
-from tandemlens.plans.inputs import token_rows_sql
+from tandemlens.plans.inputs import documents, token_rows_sql
 from tandemlens.sources.tables import table
 
 HIDDEN = 64
@@ -236,7 +236,7 @@ SELECT t.doc_id, dim, round(count(*) / max(total), 6) AS value FROM t JOIN n USI
 GROUP BY t.doc_id, dim"""
 )
 def text_encoder(spark, root):
-    return rounded(hashed_mean(table(spark, root, "documents"), "doc_id", "text", 32))
+    return rounded(hashed_mean(documents(spark, root, "doc_id", "text"), "doc_id", "text", 32))
 
 
 @query()

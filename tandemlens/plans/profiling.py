@@ -8,7 +8,7 @@ from tandemlens.functions.arrays import any_answer
 from tandemlens.functions.text import shorten, word_count
 from tandemlens.operators import profile
 from tandemlens.plans.catalog import query, rnd, rounded
-from tandemlens.plans.inputs import QA_SQL, TRIPLES_SQL, qa_examples, qa_turns, triples
+from tandemlens.plans.inputs import QA_SQL, TRIPLES_SQL, documents, qa_examples, qa_turns, triples
 from tandemlens.sources.tables import table
 
 
@@ -23,7 +23,7 @@ SELECT lang, count(*) AS num_examples, round(avg(w), 6) AS avg_text_length,
 FROM (SELECT lang, {wc_sql("text")} AS w FROM documents) GROUP BY lang"""
 )
 def text_length_profile(spark, root):
-    docs = table(spark, root, "documents")
+    docs = documents(spark, root, "lang", "text")
     lengths = profile.length_columns(F.col("text"), "text")
     return rounded(docs.groupBy("lang").agg(F.count("*").alias("num_examples"), *lengths))
 
@@ -162,7 +162,7 @@ def _files(spark, root):
     """One row per (task, dataset, split), as a file profile would have it."""
     task = F.when(F.col("lang").isin("en", "fr"), "qa").otherwise("ir")
     return (
-        table(spark, root, "documents")
+        documents(spark, root, "lang", "source", "n_chars", "text")
         .groupBy(task.alias("task"), F.col("lang").alias("dataset"), F.col("source").alias("split"))
         .agg(
             F.count("*").alias("num_examples"),

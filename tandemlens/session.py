@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 SPLIT_ROWS_CONF = "spark.tandemlens.splitRows"
 SPLIT_ROWS = 4_000_000
+BROADCAST_ROWS_CONF = "spark.tandemlens.broadcastRows"
+BROADCAST_ROWS = 100_000
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tandemlens") -> SparkSession:
@@ -25,6 +27,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tandemlen
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
@@ -52,6 +55,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Counted, not guessed: at most the configured number of rows."""
+    limit = int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
+    return df.limit(limit + 1).count() <= limit
+
+
 def split_rows(spark: SparkSession) -> int:
     """Rows above which a group counts as hot and is spread over several tasks."""
     return int(spark.conf.get(SPLIT_ROWS_CONF, str(SPLIT_ROWS)))

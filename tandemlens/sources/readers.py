@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandemlens.functions.frames import evaluated_once
 from tandemlens.functions.text import is_blank, strip, text_or_empty
 from tandemlens.operators.limits import limit_then_filter
 from tandemlens.operators.ordered import running_totals
@@ -74,7 +75,7 @@ def ir_queries(spark: SparkSession, path) -> DataFrame:
 def tsv_fields(lines: DataFrame, least: int, column: str = "value") -> DataFrame:
     """`parts` of every stripped line that has at least `least` tab-separated fields."""
     parts = F.split(strip(F.col(column)), "\t", -1)
-    return lines.withColumn("parts", parts).where(F.size("parts") >= least)
+    return evaluated_once(lines, parts=parts).where(F.size("parts") >= least)
 
 
 def qrels(spark: SparkSession, path) -> DataFrame:

@@ -10,6 +10,15 @@ TABLES = (
 ).split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer splits than cores (one row group, one gzip file) dealt out.
+
+    For CPU-heavy work on text. An input with enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}, expected one of {TABLES}")
