@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandemlens.functions.text import is_blank, strip
 
@@ -37,6 +38,27 @@ def span_text_loose(tokens: Column, start: Column, end: Column) -> Column:
     return F.when((start < n) & (end <= n), F.array_join(piece, " "))
 
 
+def list_as_text(col: Column, most: int = 10) -> Column:
+    """A list where one text was expected: its only element, or the first ten joined."""
+    return F.coalesce(F.array_join(F.slice(col, 1, most), " "), F.lit(""))
+
+
+def capped(col: Column, kind: T.DataType, items: int = 10, depth: int = 3) -> Column:
+    """A nested value with every list cut to `items`; what lies deeper than `depth` becomes text."""
+    if isinstance(kind, T.ArrayType):
+        short = F.slice(col, 1, items)
+        if not isinstance(kind.elementType, (T.ArrayType, T.StructType)):
+            return short
+        return F.transform(short, lambda x: capped(x, kind.elementType, items, depth - 1))
+    if isinstance(kind, T.StructType):
+        if depth < 0:
+            return F.to_json(col)
+        return F.struct(
+            *[capped(col[f.name], f.dataType, items, depth - 1).alias(f.name) for f in kind.fields]
+        )
+    return col
+
+
 def non_empty(col: Column) -> Column:
     """Drop NULL and empty strings from a list."""
     return F.filter(col, lambda x: x.isNotNull() & (x != ""))

@@ -51,6 +51,8 @@ def shapes(kind: str, hidden: int, fused: int = 8) -> Shapes:
         projectors = {f"{s}_proj1": (h, h) for s in ("kg", "dense")}
         projectors |= {f"{s}_proj2": (h // 2, h) for s in ("kg", "dense")}
         return projectors | {"align": (h, 2 * h), "fuse1": (h, h), "fuse2": (h, h)}
+    if kind == "graph_layer":
+        return {"linear": (h, h)}
     if kind == "qa_head":
         return {"head1": (h, h), "head2": (1, h)}
     if kind == "ir_head":
@@ -168,25 +170,50 @@ def task_head(task: str, weights: Weights) -> Callable[[Column], Column]:
     return apply
 
 
+def graph_layer(layer: Layer) -> Callable[[Column, Column], Column]:
+    """Column function (messages, own vector) -> layer output: linear map, ReLU, residual and
+    layer norm. Dropout is off outside training."""
+
+    @F.pandas_udf(VECTOR)
+    def apply(h: pd.Series, x: pd.Series) -> pd.Series:
+        if not len(h):
+            return pd.Series([], dtype=object)
+        out = np.maximum(_linear(np.vstack(h), layer), 0.0) + np.vstack(x)
+        return pd.Series(list(_layer_norm(out)))
+
+    return apply
+
+
+def project(layer: Layer) -> Callable[[Column], Column]:
+    """Column function x -> linear map of x."""
+
+    @F.pandas_udf(VECTOR)
+    def apply(x: pd.Series) -> pd.Series:
+        return pd.Series(list(_linear(np.vstack(x), layer)) if len(x) else [], dtype=object)
+
+    return apply
+
+
 def info_nce(df: DataFrame, weights: Weights, batch: str = "batch") -> DataFrame:
     """(batch, loss): symmetric contrastive loss inside each batch of (batch, kg, dense).
 
     The similarity matrix is batch size squared, so the caller's batches are small
-    and of a fixed size.
+    and of a fixed size. A task call takes 64 neighbouring batches at a time.
     """
 
-    def loss(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_way(sim: np.ndarray) -> float:
+        top = sim.max(axis=1, keepdims=True)
+        spread = np.log(np.exp(sim - top).sum(axis=1)) + top[:, 0]
+        return float((spread - np.diag(sim)).mean())
+
+    def losses(pdf: pd.DataFrame) -> pd.DataFrame:
         kg = _projected(np.vstack(pdf["kg"]), "kg", weights)
         dense = _projected(np.vstack(pdf["dense"]), "dense", weights)
-        sim = kg @ dense.T / TEMPERATURE
-        own = np.diag(sim)
-
-        def one_way(m: np.ndarray) -> float:
-            top = m.max(axis=1, keepdims=True)
-            spread = np.log(np.exp(m - top).sum(axis=1)) + top[:, 0]
-            return float((spread - own).mean())
-
-        value = (one_way(sim) + one_way(sim.T)) / 2
-        return pd.DataFrame({batch: [pdf[batch].iloc[0]], "loss": [value]})
-
-    return df.groupBy(batch).applyInPandas(loss, f"{batch} long, loss double")
+        rows = []
+        for name, at in pdf.groupby(batch).indices.items():
+            sim = kg[at] @ dense[at].T / TEMPERATURE
+            rows.append((name, (one_way(sim) + one_way(sim.T)) / 2))
+        return pd.DataFrame(rows, columns=[batch, "loss"])
+
+    neighbours = F.floor(F.col(batch) / 64).alias("neighbours")
+    return df.groupBy(neighbours).applyInPandas(losses, f"{batch} long, loss double")

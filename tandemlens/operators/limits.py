@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemlens.operators.ordered import running_totals, top_per_group
+from tandemlens.operators.ordered import PRUNE_ROWS, running_totals, top_per_group
 
 
 def first_n(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    """The first `n` rows in order, as a distributed top-n."""
-    return df.orderBy(*order).limit(n)
+    """The first `n` rows in ascending order, which ends in a unique key."""
+    if n <= PRUNE_ROWS:
+        return df.orderBy(*order).limit(n)
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    return running_totals(df, [], keys, rank="_n").where(F.col("_n") <= n).drop("_n")
 
 
 def limit_then_filter(df: DataFrame, n: int, order: Column | str, keep: Column) -> DataFrame:

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tandemlens.session import durable, fits_broadcast, split_rows
 
 
+PRUNE_ROWS = 1_000
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Groups with more than `limit` rows; there are at most count(df) / limit of them."""
     return df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
@@ -116,7 +119,13 @@ def _in_ranges(df, groups, keys, sums, prior_max, rank, total, limit):
 def top_per_group(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
-    """First `n` rows of each group. Spark prunes to `n` per group before the shuffle."""
+    """First `n` rows of each group, in an `order` that ends in a unique key.
+
+    For a small `n`, Spark prunes to `n` rows per group and task before the shuffle.
+    For a large one that is still too much for one task, so the rows are ranked instead.
+    """
+    if n > PRUNE_ROWS:
+        return running_totals(df, groups, order, rank=rank).where(F.col(rank) <= n)
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 

@@ -34,7 +34,13 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     a third of the rows never leaves the map side more than once per task.
     """
     keys = list(by)
-    values = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in columns]
+
+    def short(c: str) -> Column:
+        # Long texts are told apart by their digest, so that they are not shuffled whole.
+        text = F.col(c).cast("string")
+        return F.when(F.length(text) > 64, F.concat(F.lit("\0"), F.sha2(text, 256))).otherwise(text)
+
+    values = [F.struct(F.lit(c).alias("name"), short(c).alias("v")) for c in columns]
     tall = df.select(*keys, F.inline(F.array(*values))).where(F.col("v").isNotNull()).distinct()
     return tall.groupBy(*keys).agg(
         *[F.count_if(F.col("name") == c).alias(f"unique_{c}") for c in columns]

@@ -121,7 +121,8 @@ def attach_children(
 
 def retrieval_pairs(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     """queries x qrels x corpus on their ids; judgements without a partner are dropped."""
-    judged = qrels.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    asked = queries.select("query_id", F.col("text").alias("query"))
+    judged = lookup(qrels, asked, "query_id")
     texts = corpus.select("doc_id", text_or_empty("text").alias("passage"))
     return lookup(judged, texts, "doc_id").withColumnRenamed("doc_id", "passage_id")
 

@@ -104,6 +104,11 @@ def plateau_schedule(epochs: DataFrame, value: str, epoch: str, start_lr: float)
     return series.select("metric", F.inline(folded))
 
 
+def merge_config(log: DataFrame) -> DataFrame:
+    """Settings logged over time as (key, value, seq) rows; the last value of a key holds."""
+    return log.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+
+
 def level_counts(log: DataFrame) -> DataFrame:
     """Messages per level; anything but error and warning is info."""
     level = F.lower("level")

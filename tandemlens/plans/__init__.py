@@ -18,6 +18,7 @@ FAMILIES = (
     "files",
     "neural",
     "statistics",
+    "experiment",
     "streams",
 )
 

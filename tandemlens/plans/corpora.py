@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tandemlens.functions.arrays import (
     any_answer,
     attention_mask,
+    capped,
+    list_as_text,
     non_empty,
     pad_or_cut,
     selected_texts,
@@ -339,6 +341,28 @@ def flatten_annotations(spark, root):
     )
 
 
+@query(
+    f"""
+SELECT doc_id, array_to_string(a[1:10], ' ') AS title, least(len(a), 10) AS kept,
+  len(a) > 10 AS cut FROM (SELECT doc_id, {LINES_SQL} AS a FROM documents)"""
+)
+def json_safe(spark, root):
+    """Lists where text was expected become text, and long lists are cut before to_json."""
+    lines = F.split("text", "\n", -1)
+    rows = evaluated_once(documents(spark, root, "doc_id", "text"), lines=lines)
+    nested = rows.select(
+        "doc_id", "lines", F.struct(F.struct(F.col("lines").alias("items")).alias("body")).alias("d")
+    )
+    safe = F.to_json(capped(F.col("d"), nested.schema["d"].dataType))
+    back = F.from_json(safe, "body STRUCT<items: ARRAY<STRING>>")
+    return nested.select(
+        "doc_id",
+        list_as_text(F.col("lines")).alias("title"),
+        F.size(back["body"]["items"]).alias("kept"),
+        (F.size("lines") > 10).alias("cut"),
+    )
+
+
 VOCAB_SIZE = 30_522  # fixed value: size of the uncased subword vocabulary
 MAX_LENGTH = 256  # fixed value: tokens per encoded example
 

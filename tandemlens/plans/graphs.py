@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tandemlens.operators import graph
+from tandemlens.operators import fusion, graph
 from tandemlens.operators.ordered import running_totals
 from tandemlens.plans.catalog import query, rnd
 from tandemlens.plans.inputs import (
@@ -168,6 +168,35 @@ def gcn_message_pass(spark, root):
     return _flat(graph.gcn_messages(edges, nodes, SIZE))
 
 
+_LAYER_W = "((i * 37 + j * 17) % 101 - 50) / 250e0"
+_LAYER_SUM = (
+    f"list_transform(range({SIZE}), lambda i: greatest(((i * 13) % 11 - 5) / 50e0 + "
+    f"list_inner_product(list_transform(range({SIZE}), lambda j: {_LAYER_W}), h), 0e0) + x[i + 1])"
+)
+
+
+@query(
+    f"""
+WITH e AS (SELECT src, dst FROM {EDGES_SQL}
+    UNION ALL SELECT node, node FROM {NODES_SQL}),
+d AS (SELECT dst AS node, count(*) AS d FROM e GROUP BY dst),
+m AS (SELECT e.dst AS node, i, sum(n.x[i + 1] / sqrt(a.d * b.d)) AS v
+  FROM e JOIN {NODES_SQL} n ON n.node = e.src JOIN d a ON a.node = e.src
+    JOIN d b ON b.node = e.dst, (SELECT unnest(range({SIZE})) AS i) GROUP BY e.dst, i),
+h AS (SELECT node, list(v ORDER BY i) AS h FROM m GROUP BY node),
+s AS (SELECT node, {_LAYER_SUM} AS s FROM h JOIN {NODES_SQL} USING (node)),
+c AS (SELECT node, list_transform(s, lambda v: v - list_avg(s)) AS c FROM s)
+SELECT node, i AS dim, round(c[i + 1] / sqrt(list_inner_product(c, c) / {SIZE} + 1e-5), 6) AS value
+FROM c, (SELECT unnest(range({SIZE})) AS i)"""
+)
+def gcn_layer(spark, root):
+    """One whole graph layer: messages, linear map, ReLU, residual and layer norm."""
+    nodes, edges = _nodes_and_edges(spark, root)
+    messages = graph.gcn_messages(edges, nodes, SIZE)
+    layer = fusion.graph_layer(fusion.pattern_weights("graph_layer", SIZE)["linear"])
+    return _flat(messages.join(nodes, "node").select("node", layer("h", "x").alias("h")))
+
+
 @query(
     f"""
 SELECT n.node, i AS dim, round(coalesce(avg(s.x[i + 1]), 0), 6) AS value

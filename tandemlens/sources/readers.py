@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tandemlens.functions.frames import evaluated_once
 from tandemlens.functions.text import is_blank, strip, text_or_empty
-from tandemlens.operators.limits import limit_then_filter
 from tandemlens.operators.ordered import running_totals
 from tandemlens.sources import schemas
 
@@ -124,8 +123,7 @@ def numbered_lines(spark: SparkSession, path) -> DataFrame:
 
 def passages(spark: SparkSession, path, cap: int = 100_000) -> DataFrame:
     """id/text pairs among the first `cap` lines; the cap counts lines, not kept rows."""
-    lines = numbered_lines(spark, path)
-    first = limit_then_filter(lines, cap, "pos", F.lit(True))
+    first = numbered_lines(spark, path).where(F.col("pos") < cap)
     return tsv_fields(first, 2).select(
         F.col("parts")[0].alias("doc_id"), F.col("parts")[1].alias("text")
     )
