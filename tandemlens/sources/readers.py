@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,23 +133,18 @@ def passages(spark: SparkSession, path, cap: int = 100_000) -> DataFrame:
 def decoded_lines(spark: SparkSession, path) -> DataFrame:
     """Lines as UTF-8, and as Latin-1 for files that are not valid UTF-8.
 
-    The whole file decides, as its encoding is a property of the file. Lines are
-    read as bytes without a decode, so a large file stays split.
+    The whole file decides, as its encoding is a property of the file. The text source
+    hands on the bytes as they are, so nothing is lost and a large file stays split.
     """
-    raw = spark.read.option("encoding", "ISO-8859-1").text(path)
-    # A Latin-1 read maps every byte to the character of the same number.
-    lines = raw.select(
-        F.encode("value", "ISO-8859-1").alias("bytes"), F.col("_metadata.file_path").alias("_file")
-    )
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
     bad = (
-        lines.where(~F.is_valid_utf8(F.col("bytes").cast("string")))
+        lines.where(~F.is_valid_utf8("value"))
         .select("_file")
         .distinct()
         .withColumn("_latin", F.lit(True))
     )
-    text = F.when(F.col("_latin"), F.decode("bytes", "ISO-8859-1")).otherwise(
-        F.col("bytes").cast("string")
-    )
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    text = F.when(F.col("_latin"), latin).otherwise(F.col("value"))
     return lines.join(bad, "_file", "left").select(text.alias("value"), "_file")
 
 
@@ -261,6 +257,6 @@ def readable(spark: SparkSession, path: str, schema: str) -> bool:
     """False when the strict read of a file fails."""
     try:
         json_lines_strict(spark, path, schema).agg(F.count("*")).first()
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return False
     return True
