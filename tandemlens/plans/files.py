@@ -42,10 +42,12 @@ def jsonl_rejects(spark, root):
     broken = F.expr("left(props, length(props) - 1)")
     line = F.when(F.col("event_type") == "error", broken).otherwise(F.col("props"))
     lines = table(spark, root, "events").select(line.alias("value"))
-    records, rejected = readers.parse_lines(lines, "value", "k BIGINT")
-    n_rejected = rejected.agg(F.count("*").alias("n")).scalar()
-    return records.agg(F.count("*").alias("records"), F.sum("k").alias("k_sum")).withColumn(
-        "rejected", n_rejected
+    checked = readers.checked_lines(lines, "value", "k BIGINT")
+    bad = F.col("rejected")
+    return checked.agg(
+        F.count_if(~bad).alias("records"),
+        F.count_if(bad).alias("rejected"),
+        F.sum(F.when(~bad, F.col("record.k"))).alias("k_sum"),
     )
 
 

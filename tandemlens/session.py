@@ -7,12 +7,15 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 SPLIT_ROWS_CONF = "spark.tandemlens.splitRows"
 SPLIT_ROWS = 4_000_000
 BROADCAST_ROWS_CONF = "spark.tandemlens.broadcastRows"
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tandemlens") -> SparkSession:
@@ -56,9 +59,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Counted, not guessed: at most the configured number of rows."""
+    """Counted, not guessed: rows and bytes of the whole table are within the limits."""
     limit = int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
-    return df.limit(limit + 1).count() <= limit
+    width = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width += F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            width += F.coalesce(F.size(field.name), F.lit(0)) * 16 + 16
+        else:
+            width += 8
+    size = df.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
+    return size["rows"] <= limit and (size["bytes"] or 0) <= BROADCAST_BYTES
 
 
 def split_rows(spark: SparkSession) -> int:

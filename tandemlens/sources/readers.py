@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tandemlens.functions.frames import evaluated_once
 from tandemlens.functions.text import is_blank, strip, text_or_empty
-from tandemlens.operators.ordered import running_totals
+from tandemlens.operators.ordered import lookup, running_totals
 from tandemlens.sources import schemas
 
 REJECT = "_corrupt_record"
@@ -35,12 +35,17 @@ def json_lines_with_rejects(spark: SparkSession, path, schema: str) -> tuple[Dat
 
 
 def parse_lines(lines: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    parsed = checked_lines(lines, column, schema)
+    records = parsed.where(~F.col("rejected")).select("record.*").drop(REJECT)
+    return records, parsed.where("rejected").select(F.col(column).alias("line"))
+
+
+def checked_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """Every line with its parsed `record` and whether it was `rejected`."""
     full = f"{schema}, {REJECT} STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
-    parsed = lines.withColumn("_r", F.from_json(column, full, options))
-    bad = F.col(f"_r.{REJECT}").isNotNull()
-    records = parsed.where(~bad).select("_r.*").drop(REJECT)
-    return records, parsed.where(bad).select(F.col(column).alias("line"))
+    parsed = evaluated_once(lines, record=F.from_json(column, full, options))
+    return parsed.withColumn("rejected", F.col(f"record.{REJECT}").isNotNull())
 
 
 def json_documents(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -145,7 +150,7 @@ def decoded_lines(spark: SparkSession, path) -> DataFrame:
     )
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     text = F.when(F.col("_latin"), latin).otherwise(F.col("value"))
-    return lines.join(bad, "_file", "left").select(text.alias("value"), "_file")
+    return lookup(lines, bad, "_file", "left").select(text.alias("value"), "_file")
 
 
 def kg_entities(spark: SparkSession, path) -> DataFrame:

@@ -46,6 +46,13 @@ def report(lines: DataFrame, path: str, order: str) -> None:
     lines.orderBy(order).select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+def save_model(model, folder: str, epoch: int, is_best: bool) -> None:
+    """Checkpoint of a fitted model, and the copy under `best_model` when it is the best so far."""
+    model.write().overwrite().save(f"{folder}/checkpoint_epoch_{epoch}")
+    if is_best:
+        model.write().overwrite().save(f"{folder}/best_model")
+
+
 def metric_append(df: DataFrame, path: str) -> None:
     """Tidy metric rows, appended."""
     df.write.mode("append").partitionBy("metric").parquet(path)
