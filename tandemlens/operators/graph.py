@@ -14,33 +14,36 @@ from tandemlens.session import durable
 MAX_ENTITIES = 10  # fixed value: linked entities per text
 
 
-def _dense_ids(places: DataFrame, name: str) -> DataFrame:
-    """Ids 1, 2, ... by first appearance, from (name, place) rows; empty names get none."""
-    first = (
-        places.where(F.col(name).isNotNull() & (F.col(name) != ""))
-        .groupBy(name)
-        .agg(F.min("place").alias("place"))
-    )
-    first = durable(first, "first-places")
-    # Ties cannot occur: a place belongs to one mention. The name makes that explicit.
-    return running_totals(first, [], [F.col("place"), F.col(name)], rank="id").select(name, "id")
+def vocabularies(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, id) and (relation, id) with ids 1, 2, ... by first appearance.
 
+    Heads come before tails within a triple, triples go by `pos`; empty names get no
+    id. One pass over the triples fills a table that holds both.
+    """
+
+    def mention(kind: str, name: str, place: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"), place.alias("place"))
 
-def entity_vocab(triples: DataFrame) -> DataFrame:
-    """(entity, id): heads before tails within a triple, triples by `pos`."""
     mentions = triples.select(
         F.inline(
             F.array(
-                F.struct(F.col("head").alias("entity"), (F.col("pos") * 2).alias("place")),
-                F.struct(F.col("tail").alias("entity"), (F.col("pos") * 2 + 1).alias("place")),
+                mention("entity", "head", F.col("pos") * 2),
+                mention("entity", "tail", F.col("pos") * 2 + 1),
+                mention("relation", "relation", F.col("pos")),
             )
         )
     )
-    return _dense_ids(mentions, "entity")
+    named = mentions.where(F.col("name").isNotNull() & (F.col("name") != ""))
+    first = named.groupBy("kind", "name").agg(F.min("place").alias("place"))
+    first = durable(first, "first-places")
+    # Ties cannot occur: a place belongs to one mention. The name makes that explicit.
+    ranked = running_totals(first, ["kind"], [F.col("place"), F.col("name")], rank="id")
+    ids = durable(ranked.select("kind", "name", "id"), "vocabularies")
 
+    def of(kind: str) -> DataFrame:
+        return ids.where(F.col("kind") == kind).select(F.col("name").alias(kind), "id")
 
-def relation_vocab(triples: DataFrame) -> DataFrame:
-    return _dense_ids(triples.select("relation", F.col("pos").alias("place")), "relation")
+    return of("entity"), of("relation")
 
 
 def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -50,10 +50,11 @@ def running_totals(
     helpers = keys + [f"_s_{n}" for n in sums] + [f"_m_{n}" for n in prior_max]
 
     if groups:
-        hot = durable(hot_groups(keyed, groups, limit), "hot-groups")
+        hot = hot_groups(df.select(*groups), groups, limit)
         total = hot.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n")).first()["n"]
         if total == 0:
             return _in_groups(keyed, groups, keys, sums, prior_max, rank).drop(*helpers)
+        hot = durable(hot, "hot-groups")
         cold = keyed.join(hot, groups, "left_anti")
         big = keyed.join(hot, groups, "left_semi")
         result = _in_groups(cold, groups, keys, sums, prior_max, rank).unionByName(
@@ -147,9 +148,10 @@ def lookup(
     if fits_broadcast(dim):
         return big.join(F.broadcast(dim), on, how)
     limit = split_rows(big.sparkSession)
-    hot = durable(hot_groups(big if keys_of is None else keys_of, [on], limit).select(on), "hot-keys")
+    hot = hot_groups((big if keys_of is None else keys_of).select(on), [on], limit).select(on)
     if hot.isEmpty():
         return big.join(dim, on, how)
+    hot = durable(hot, "hot-keys")
     hot_dim = durable(dim.join(hot, on, "left_semi"), "hot-dim")
     hot_rows = big.join(hot, on, "left_semi").join(hot_dim, on, how)
     return big.join(hot, on, "left_anti").join(dim, on, how).unionByName(hot_rows)

@@ -120,7 +120,7 @@ def attach_children(
 
 
 def retrieval_pairs(queries: DataFrame, qrels: DataFrame, corpus: DataFrame) -> DataFrame:
-    """queries x qrels x corpus on their ids; judgements without a partner are dropped."""
+    """queries x qrels x corpus on their (unique) ids; judgements without a partner are dropped."""
     asked = queries.select("query_id", F.col("text").alias("query"))
     judged = lookup(qrels, asked, "query_id")
     texts = corpus.select("doc_id", text_or_empty("text").alias("passage"))

@@ -39,12 +39,12 @@ def vocab_sql(name: str) -> str:
 
 @query(f"SELECT entity, id FROM {vocab_sql('entity')}")
 def kg_vocab(spark, root):
-    return graph.entity_vocab(triples(spark, root))
+    return graph.vocabularies(triples(spark, root))[0]
 
 
 @query(f"SELECT relation, id FROM {vocab_sql('relation')}")
 def kg_relation_vocab(spark, root):
-    return graph.relation_vocab(triples(spark, root))
+    return graph.vocabularies(triples(spark, root))[1]
 
 
 ENCODED_SQL = f"""(
@@ -57,9 +57,8 @@ ENCODED_SQL = f"""(
 def _encoded(spark, root):
     """Training triples encoded with the vocabulary of all splits."""
     facts = triples(spark, root)
-    entities = durable(graph.entity_vocab(facts), "entities")
     train = facts.where(F.col("split") == "train")
-    return graph.encode(train, entities, graph.relation_vocab(facts))
+    return graph.encode(train, *graph.vocabularies(facts))
 
 
 @query(f"SELECT pos, src, rel, dst FROM {ENCODED_SQL}")
@@ -139,11 +138,9 @@ NODES_SQL = f"""(SELECT id AS node,
 def _nodes_and_edges(spark, root):
     """Undirected training edges, and a deterministic feature vector per entity."""
     facts = triples(spark, root)
-    entities = durable(graph.entity_vocab(facts), "entities")
+    entities, relations = graph.vocabularies(facts)
     train = facts.where(F.col("split") == "train")
-    edges = durable(
-        graph.undirected(graph.encode(train, entities, graph.relation_vocab(facts))), "edges"
-    )
+    edges = durable(graph.undirected(graph.encode(train, entities, relations)), "edges")
     values = [((F.col("id") * (i + 3)) % 17 - 8) / 8.0 for i in range(SIZE)]
     return entities.select(F.col("id").alias("node"), F.array(*values).alias("x")), edges
 

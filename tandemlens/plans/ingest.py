@@ -91,8 +91,8 @@ def knowledge_graph(
             parts.append(readers.kg_triples(spark, path, split))
     labelled = graph.with_labels(
         reduce(DataFrame.unionByName, parts),
-        readers.kg_entities(spark, entities).dropDuplicates(["entity_id"]),
-        readers.kg_relations(spark, relations).dropDuplicates(["relation_id"]),
+        readers.kg_names(spark, entities, "entity_id", "entity_name"),
+        readers.kg_names(spark, relations, "relation_id", "relation_name"),
     )
     return _written(spark, labelled, out, "kg", dataset)
 

@@ -34,7 +34,7 @@ SELECT metric, event_id, row_number() OVER ({BY_TIME_SQL}) - 1 AS step FROM {MET
 )
 def auto_step(spark, root):
     log = metric_log(spark, root).select("metric", "event_id", "ts")
-    stepped = tracking.auto_step(log, [F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")])
+    stepped = tracking.auto_step(log, [F.col("ts"), F.col("event_id")])
     return stepped.select("metric", "event_id", "step")
 
 
@@ -59,9 +59,8 @@ SELECT metric, event_id, coalesce(value > max(value) OVER ({BY_TIME_SQL}
 def best_value_marks(spark, root):
     """The same over every single logged value; the series are as long as the table."""
     log = metric_log(spark, root).select("metric", "event_id", "value", "ts")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
     seen = running_totals(
-        log, ["metric"], [at, F.col("event_id")], prior_max={"prior": F.col("value")}
+        log, ["metric"], [F.col("ts"), F.col("event_id")], prior_max={"prior": F.col("value")}
     )
     is_best = F.col("prior").isNull() | (F.col("value") > F.col("prior"))
     return seen.select("metric", "event_id", is_best.alias("is_best"))
@@ -124,8 +123,7 @@ def global_step(spark, root):
     """epoch * batches per epoch + batch, with the longest epoch as the epoch length."""
     epoch = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
     log = metric_log(spark, root).select("metric", "event_id", "ts", epoch.alias("epoch"))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    placed = running_totals(log, ["metric", "epoch"], [at, F.col("event_id")])
+    placed = running_totals(log, ["metric", "epoch"], [F.col("ts"), F.col("event_id")])
     sizes = log.groupBy("metric", "epoch").agg(F.count("*").alias("n"))
     batches = sizes.agg(F.max("n").alias("batches")).scalar()
     step = tracking.global_step(F.col("epoch"), F.col("rank") - 1, batches)
@@ -174,9 +172,12 @@ SELECT metric, round(count(*) / (epoch(max(ts)) - epoch(min(ts))) * 3600, 6) AS
 )
 def throughput(spark, root):
     """Logged values per hour and the length of the series in minutes."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    log = metric_log(spark, root).select("metric", seconds.alias("s"))
-    span = F.max("s") - F.min("s")
-    return log.groupBy("metric").agg(
-        rnd(F.count("*") / span * 3600).alias("per_hour"), rnd(span / 60).alias("minutes")
+    ends = metric_log(spark, root).groupBy("metric").agg(
+        F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("span")
+    )
+    seconds = F.expr("cast(cast(span AS INTERVAL SECOND) AS DECIMAL(20, 6))").cast("double")
+    return ends.select(
+        "metric",
+        rnd(F.col("n") / seconds * 3600).alias("per_hour"),
+        rnd(seconds / 60).alias("minutes"),
     )

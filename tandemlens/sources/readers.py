@@ -141,7 +141,14 @@ def decoded_lines(spark: SparkSession, path) -> DataFrame:
     The whole file decides, as its encoding is a property of the file. The text source
     hands on the bytes as they are, so nothing is lost and a large file stays split.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("_place"),
+    )
     bad = (
         lines.where(~F.is_valid_utf8("value"))
         .select("_file")
@@ -150,7 +157,7 @@ def decoded_lines(spark: SparkSession, path) -> DataFrame:
     )
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     text = F.when(F.col("_latin"), latin).otherwise(F.col("value"))
-    return lookup(lines, bad, "_file", "left").select(text.alias("value"), "_file")
+    return lookup(lines, bad, "_file", "left").select(text.alias("value"), "_file", "_place")
 
 
 def kg_entities(spark: SparkSession, path) -> DataFrame:
@@ -165,6 +172,15 @@ def kg_relations(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def kg_names(spark: SparkSession, path, key: str, name: str) -> DataFrame:
+    """One (key, name) per id; of several lines with the same id the last one holds."""
+    rows = tsv_fields(decoded_lines(spark, path), 2)
+    fields = rows.select(
+        F.col("parts")[0].alias(key), F.col("parts")[1].alias(name), F.struct("_file", "_place").alias("at")
+    )
+    return fields.groupBy(key).agg(F.max_by(name, "at").alias(name))
+
+
 def kg_triples(spark: SparkSession, path, split: str = "train") -> DataFrame:
     return tsv_fields(decoded_lines(spark, path), 3).select(
         F.col("parts")[0].alias("head"),

@@ -42,6 +42,7 @@ def test_raw_folder_to_report(spark, tmp_path):
     kg = readers.json_lines(spark, f"{out}/kg/wiki", f"{schemas.KG_LABELLED}, split STRING")
     got = {(r.split, r.relation_label, r.tail_label) for r in kg.collect()}
     assert {g[:2] for g in got} == {("train", "knows"), ("valid", "P9")}
+    assert {r.head_label for r in kg.collect()} == {"other"}
     flat_back = readers.json_lines(spark, f"{out}/qa/flat", schemas.QA_FLAT).collect()
     assert [(r.question, r.answers) for r in flat_back] == [("a", ["x"])]
 

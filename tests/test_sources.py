@@ -160,7 +160,7 @@ def test_splits_summary_report_and_append(spark, tmp_path):
 def test_graph_edge_cases(spark):
     rows = [(0, "a", "r", "b"), (1, "b", "r", "a"), (2, "a", "", "c"), (3, "", "s", "a")]
     triples = spark.createDataFrame(rows, "pos long, head string, relation string, tail string")
-    ents, rels = graph.entity_vocab(triples), graph.relation_vocab(triples)
+    ents, rels = graph.vocabularies(triples)
     assert {tuple(r) for r in ents.collect()} == {("a", 1), ("b", 2), ("c", 3)}
     assert {tuple(r) for r in rels.collect()} == {("r", 1), ("s", 2)}
     edges = graph.undirected(graph.encode(triples, ents, rels))
