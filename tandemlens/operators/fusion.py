@@ -18,6 +18,7 @@ VECTOR = "array<double>"
 NORM_EPS = 1e-5  # fixed value: layer-norm epsilon
 GATE_EPS = 1e-8  # fixed value: keeps the gate sum positive
 TEMPERATURE = 0.1  # fixed value: contrastive temperature
+CELLS = 1 << 24  # numbers held at once by the bilinear step (128 MB)
 
 
 class Layer(NamedTuple):
@@ -115,11 +116,21 @@ def hierarchical_gating(kg: np.ndarray, dense: np.ndarray, p: Weights) -> np.nda
     return _mlp(np.hstack([a / total * kg, b / total * dense]), p["fuse1"], p["fuse2"])
 
 
+def _bilinear(kg: np.ndarray, dense: np.ndarray, layer: Layer, cells: int = CELLS) -> np.ndarray:
+    """kg * tensor * dense per row, a few rows at a time: the step in between holds
+    rows x outputs x width numbers."""
+    n, h = kg.shape
+    tensor = layer.w.reshape(-1, h, h)
+    step = max(1, cells // (tensor.shape[0] * h))
+    out = np.empty((n, tensor.shape[0]))
+    for at in range(0, n, step):
+        left = np.einsum("ni,kij->nkj", kg[at : at + step], tensor, optimize=True)
+        out[at : at + step] = np.einsum("nkj,nj->nk", left, dense[at : at + step])
+    return out + layer.b
+
+
 def tensor_bilinear(kg: np.ndarray, dense: np.ndarray, p: Weights) -> np.ndarray:
-    h = kg.shape[1]
-    tensor = p["bilinear"].w.reshape(-1, h, h)
-    product = np.einsum("ni,kij,nj->nk", kg, tensor, dense, optimize=True) + p["bilinear"].b
-    parts = [product, _linear(kg, p["kg_proj"]), _linear(dense, p["dense_proj"])]
+    parts = [_bilinear(kg, dense, p["bilinear"]), _linear(kg, p["kg_proj"]), _linear(dense, p["dense_proj"])]
     return _layer_norm(_mlp(np.hstack(parts), p["fuse1"], p["fuse2"]))
 
 

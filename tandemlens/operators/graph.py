@@ -109,27 +109,30 @@ def link_entities(texts: DataFrame, tokens: DataFrame, vocab: DataFrame, key: st
     )
 
 
-def _weighted_sum(vector: str, weight: Column, size: int) -> list[Column]:
-    return [F.sum(F.col(vector)[i] * weight).alias(f"_{i}") for i in range(size)]
+def _sums(vector: str, size: int) -> list[Column]:
+    return [F.sum(F.col(vector)[i]).alias(f"_{i}") for i in range(size)]
 
 
 def gcn_messages(edges: DataFrame, features: DataFrame, size: int) -> DataFrame:
     """(node, h): sum over neighbours and the node itself of x / sqrt(d_i * d_j).
 
     d counts incoming edges plus the self loop. The per-node scaling is applied to
-    the features before and after the sum, so the edge table is joined only once.
+    the features before and after the sum, so the edge table is joined only once; the
+    self loop brings the second scaling along.
     """
-    degree = degrees(edges)
     scale = F.pow(F.coalesce("degree", F.lit(0)) + 1.0, F.lit(-0.5))
-    scaled = features.join(degree, "node", "left").select(
-        "node", scale.alias("scale"), F.transform("x", lambda v: v * scale).alias("x")
+    degree = features.join(degrees(edges), "node", "left").withColumn("scale", scale)
+    products = [(F.col("x")[i] * F.col("scale")).alias(f"x{i}") for i in range(size)]
+    scaled = durable(degree.select("node", "scale", *products), "scaled-features")
+    values = [f"x{i}" for i in range(size)]
+    sources = scaled.select(F.col("node").alias("src"), *values)
+    messages = lookup(edges.select("src", "dst"), sources, "src")
+    loops = scaled.select(F.col("node").alias("dst"), "scale", *values)
+    rows = messages.select("dst", F.lit(None).cast("double").alias("scale"), *values)
+    sums = rows.unionByName(loops).groupBy("dst").agg(
+        F.max("scale").alias("scale"), *[F.sum(f"x{i}").alias(f"_{i}") for i in range(size)]
     )
-    sources = scaled.select(F.col("node").alias("src"), "x")
-    messages = lookup(edges.select("src", "dst"), sources, "src").select("dst", "x")
-    loops = scaled.select(F.col("node").alias("dst"), "x")
-    sums = messages.unionByName(loops).groupBy("dst").agg(*_weighted_sum("x", F.lit(1.0), size))
-    back = scaled.select(F.col("node").alias("dst"), "scale")
-    return sums.join(back, "dst").select(
+    return sums.select(
         F.col("dst").alias("node"),
         F.array(*[F.col(f"_{i}") * F.col("scale") for i in range(size)]).alias("h"),
     )
@@ -141,7 +144,7 @@ def sage_messages(edges: DataFrame, features: DataFrame, size: int) -> DataFrame
     sums = (
         lookup(edges.select("src", "dst"), sources, "src")
         .groupBy(F.col("dst").alias("node"))
-        .agg(F.count("*").alias("_n"), *_weighted_sum("x", F.lit(1.0), size))
+        .agg(F.count("*").alias("_n"), *_sums("x", size))
     )
     means = [F.coalesce(F.col(f"_{i}") / F.col("_n"), F.lit(0.0)) for i in range(size)]
     return features.select("node").join(sums, "node", "left").select(

@@ -191,7 +191,7 @@ def _pairs(spark, root):
 
 @query(
     f"""
-SELECT query, query_id, passage, passage_id, max((l_returnflag = 'R')::int) AS relevance
+SELECT query, query_id, passage, passage_id, max((l_returnflag = 'R')::bigint) AS relevance
 FROM {PAIRS_SQL} GROUP BY ALL"""
 )
 def ir_pairs(spark, root):
@@ -200,7 +200,7 @@ def ir_pairs(spark, root):
 
 @query(
     f"""
-WITH p AS (SELECT dataset, query_id, passage_id, max((l_returnflag = 'R')::int) AS relevance
+WITH p AS (SELECT dataset, query_id, passage_id, max((l_returnflag = 'R')::bigint) AS relevance
   FROM {PAIRS_SQL} GROUP BY ALL)
 SELECT dataset, query_id, passage_id, relevance FROM p
 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY query_id, passage_id) <= 10000"""
@@ -310,7 +310,7 @@ def event_props_json(spark, root):
 
 @query(
     f"""
-SELECT doc_id, 'annotated ' || lang AS short_answer, '' AS long_answer, 2 AS n_short
+SELECT doc_id, 'annotated ' || lang AS short_answer, '' AS long_answer, 2::bigint AS n_short
 FROM documents WHERE lang <> 'en'
 UNION ALL SELECT doc_id, 'annotated en', coalesce({TOKENS_SQL}[1], ''), 1 FROM documents
 WHERE lang = 'en'"""
@@ -371,7 +371,7 @@ MAX_LENGTH = 256  # fixed value: tokens per encoded example
     f"""
 SELECT example_id, label, least(len(w), 256) AS n_tokens,
   cast(list_sum(list_transform(w[1:256],
-    lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 30522 + 1)) AS bigint) AS id_sum, 256 AS width
+    lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % 30522 + 1)) AS bigint) AS id_sum, 256::bigint AS width
 FROM (SELECT example_id, CASE WHEN trim(coalesce(answer, '')) <> '' THEN 1e0 ELSE 0e0 END AS label,
     list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> '') AS w
   FROM {QA_SQL}) WHERE len(w) > 0"""

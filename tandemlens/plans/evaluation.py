@@ -16,6 +16,7 @@ from tandemlens.plans.inputs import (
     predictions,
     ranked,
 )
+from tandemlens.session import durable
 from tandemlens.sources.tables import table
 
 FLAGS_SQL = f"""(SELECT *, (kg > 0.5) = (label = 1) AS k, (dense > 0.5) = (label = 1) AS d,
@@ -81,7 +82,7 @@ def correct_set_algebra(spark, root):
 @query(
     """
 SELECT l.doc_id AS example_id, ((l.doc_id * 37 + 11) % 100) / 100e0 AS kg,
-  (d.n_chars % 100) / 100e0 AS dense, l.quality AS label
+  (d.n_chars % 100) / 100e0 AS dense, l.quality::bigint AS label
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 )
 def prediction_alignment(spark, root):
@@ -148,7 +149,7 @@ WITH q AS (SELECT query_id, k, count(*) FILTER (rank <= k AND relevance > 0) AS
     sum(CASE WHEN rank <= k THEN (pow(2, relevance) - 1) / log2(rank + 1) ELSE 0 END) AS dcg,
     sum(CASE WHEN ideal <= k THEN (pow(2, relevance) - 1) / log2(ideal + 1) ELSE 0 END) AS idcg
   FROM {ORDERED_SQL}, (SELECT unnest([1, 5, 10, 20]) AS k) GROUP BY query_id, k)
-SELECT k, round(avg(hits / k), 6) AS precision,
+SELECT k::bigint AS k, round(avg(hits / k), 6) AS precision,
   round(avg(CASE WHEN rel > 0 THEN hits / rel ELSE 0e0 END), 6) AS recall,
   round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0e0 END), 6) AS ndcg
 FROM q GROUP BY k"""
@@ -166,11 +167,12 @@ a AS (SELECT query_id, count(*) FILTER (relevance > 0) AS rel,
 SELECT round(avg(CASE WHEN rel > 0 THEN s / rel ELSE 0e0 END), 6) AS map FROM a"""
 )
 def ir_map(spark, root):
-    return rounded(ranking.mean_average_precision(ranked(spark, root)))
+    runs = durable(ranked(spark, root), "runs")  # read twice: sizes, then ranks
+    return rounded(ranking.mean_average_precision(runs))
 
 
 @query(
-    f"""SELECT query_id, doc_id, round(score, 6) AS score, relevance, rank FROM {ORDERED_SQL}
+    f"""SELECT query_id, doc_id, round(score, 6) AS score, relevance::bigint AS relevance, rank FROM {ORDERED_SQL}
 WHERE rank <= 5"""
 )
 def topk_per_query(spark, root):
@@ -180,7 +182,7 @@ def topk_per_query(spark, root):
 
 @query(
     """
-SELECT task, count(*) AS n, sum(target) AS positives FROM (
+SELECT task, count(*) AS n, sum(target)::bigint AS positives FROM (
   SELECT 'qa' AS task, quality AS target FROM labels
   UNION ALL SELECT 'ir', CASE l_returnflag WHEN 'N' THEN 0 ELSE 1 END FROM lineitem)
 GROUP BY task"""

@@ -54,7 +54,7 @@ def jsonl_rejects(spark, root):
 @query(
     """
 SELECT relevance, count(*) AS n FROM (
-  SELECT CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END AS relevance, l_linenumber
+  SELECT CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END::bigint AS relevance, l_linenumber
   FROM lineitem) WHERE l_linenumber <> 1 GROUP BY relevance"""
 )
 def qrels_arity(spark, root):

@@ -113,7 +113,7 @@ def first_files(spark, root):
 
 @query(
     """
-SELECT conv_id, turn, len(w) AS n_words, 10 AS width, coalesce(w[1], '') AS first,
+SELECT conv_id, turn, len(w) AS n_words, 10::bigint AS width, coalesce(w[1], '') AS first,
   coalesce(w[10], '') AS last FROM (SELECT conv_id, turn,
   list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations)"""
 )

@@ -227,7 +227,7 @@ EXPECTED = (
 
 @query(
     f"""
-SELECT e.name, e.position, e.streaming, cast(ceil(d.examples / e.batch) AS bigint) AS batches,
+SELECT e.name, e.position::bigint AS position, e.streaming, cast(ceil(d.examples / e.batch) AS bigint) AS batches,
   round(d.size_mb / 1024 / e.gb * 100, 6) AS percent_of_expected
 FROM {DATASETS_SQL} d JOIN (SELECT unnest(['beir_ir', 'ms_marco_qa', 'wikidata5m_kg',
     'natural_questions_qa']) AS name, unnest([1, 2, 3, 4]) AS position,

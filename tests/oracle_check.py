@@ -12,8 +12,6 @@ import duckdb
 
 from tandemlens.sources.tables import TABLES
 
-INTS = {"TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT"}
-
 
 def connect(root: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -35,16 +33,13 @@ def plain(value):
 
 
 def spark_kind(t: str) -> str:
-    if t in ("tinyint", "smallint", "int", "bigint"):
-        return "int"
-    return {"double": "float", "float": "float", "string": "str", "boolean": "bool"}.get(t, t)
+    return {"bigint": "int", "double": "float", "float": "float", "string": "str", "boolean": "bool"}.get(t, t)
 
 
 def duck_kind(t: str) -> str:
     t = str(t)
-    if t in INTS:
-        return "int"
-    return {"DOUBLE": "float", "FLOAT": "float", "VARCHAR": "str", "BOOLEAN": "bool"}.get(t, t)
+    known = {"BIGINT": "int", "DOUBLE": "float", "VARCHAR": "str", "BOOLEAN": "bool"}
+    return known.get(t, t)
 
 
 def compare(spark, con, name, fn, sql, root):

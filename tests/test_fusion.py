@@ -28,6 +28,15 @@ def test_batches_do_not_change_a_row(pairs, kind):
         assert got[i] == pytest.approx(one.tolist())
 
 
+def test_bilinear_step_size_does_not_matter():
+    rng = np.random.default_rng(1)
+    kg, dense = rng.normal(size=(9, H)), rng.normal(size=(9, H))
+    layer = fusion.pattern_weights("tensor_bilinear", H)["bilinear"]
+    want = np.einsum("ni,kij,nj->nk", kg, layer.w.reshape(-1, H, H), dense) + layer.b
+    assert np.allclose(fusion._bilinear(kg, dense, layer), want)
+    assert np.allclose(fusion._bilinear(kg, dense, layer, cells=100), want)
+
+
 def test_equal_gates_halve_both_sides():
     weights = fusion.pattern_weights("hierarchical_gating", H)
     zero = {k: fusion.Layer(np.zeros_like(v.w), np.zeros_like(v.b)) for k, v in weights.items()}
