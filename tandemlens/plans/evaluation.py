@@ -224,13 +224,13 @@ def inference_threshold(spark, root):
 
 @query(
     f"""
-SELECT model, example_id, n_seen, round(right_ / n_seen, 6) AS running_accuracy FROM (
+SELECT model, example_id, n_seen, right_ / n_seen AS running_accuracy FROM (
   SELECT model, example_id, row_number() OVER w AS n_seen,
     sum(((score > 0.5) = (label = 1))::int) OVER w AS right_
   FROM {LONG_PREDICTIONS_SQL} WINDOW w AS (PARTITION BY model ORDER BY example_id))"""
 )
 def running_accuracy(spark, root):
-    """Accuracy over the samples seen so far."""
+    """Accuracy over the samples seen so far: one exact division, so it needs no rounding."""
     hit = (binary.decide(F.col("score")) == F.col("label")).cast("long")
     seen = running_totals(
         long_predictions(spark, root),
@@ -239,7 +239,7 @@ def running_accuracy(spark, root):
         sums={"right": hit},
         rank="n_seen",
     )
-    accuracy = rnd(F.col("right") / F.col("n_seen")).alias("running_accuracy")
+    accuracy = (F.col("right") / F.col("n_seen")).alias("running_accuracy")
     return seen.select("model", "example_id", "n_seen", accuracy)
 
 
