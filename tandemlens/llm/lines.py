@@ -53,14 +53,16 @@ def dropped_keys(
     """(doc_id, keys): for each document that loses lines, the keys it loses.
 
     Counting combines on the map side. The way back joins the pairs to one row per key: a key
-    that many documents share is a skewed join, which Spark splits (the key's own row is copied).
+    that many documents share is a skewed join, which Spark splits (the key's own row is copied);
+    for that both sides must come straight from their exchanges, so the counts are written first.
     """
     pairs = durable(line_keys(docs, min_chars).distinct(), "line_keys")
-    shared = (
+    shared = durable(
         pairs.groupBy("key")
         .agg(F.count(F.lit(1)).alias("documents"), F.max("doc_id").alias("keeper"))
         .filter(F.col("documents") >= min_documents)
-        .select("key", "keeper")
+        .select("key", "keeper"),
+        "shared_lines",
     )
     return (
         pairs.join(shared, "key")
