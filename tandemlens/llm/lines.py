@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlens.llm.common import SPACE, packed, unpacked
+from tandemlens.llm.common import SPACE, named, packed, unpacked
 from tandemlens.llm.registry import query
 from tandemlens.session import durable
 from tandemlens.sources.tables import table
@@ -72,20 +72,10 @@ def dropped_keys(
     )
 
 
-def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS
-) -> DataFrame:
-    """Every document with the lines left to it in `text`, plus n_lines and n_dropped.
-
-    Edge cases: a null or empty text is one empty line and comes back as an empty text. Rows with
-    the same doc_id count as one document and lose the same keys; rows without an id count
-    together as one document, which keeps a shared line only if no other document has it (then
-    it is not shared). An empty table gives no row. Other columns pass through unchanged.
-    """
-    columns = docs.columns
-    outcome = "text string, n_lines bigint, n_dropped bigint"
+def _deduped(docs: DataFrame, min_chars: int, min_documents: int) -> DataFrame:
+    """(row, out): each row of `docs` with the struct (text, n_lines, n_dropped) next to it."""
 
-    @F.arrow_udf(outcome)
+    @F.arrow_udf("text string, n_lines bigint, n_dropped bigint")
     def kept(text: pa.Array, keys: pa.Array) -> pa.Array:
         texts, lines_of, dropped_of = [], [], []
         for t, gone in zip(text, keys):
@@ -101,14 +91,33 @@ def dedup_lines(
         )
 
     drops = dropped_keys(docs, min_chars, min_documents).withColumnRenamed("doc_id", "dropped_from")
-    done = (
+    return (
         packed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
         .join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("dropped_from")), "left")
         .select("row", kept("text", "keys").alias("out"))
     )
-    return unpacked(
-        done, columns, text=F.col("out.text"), n_lines=F.col("out.n_lines"), n_dropped=F.col("out.n_dropped")
-    )
+
+
+def dedup_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS
+) -> DataFrame:
+    """Every document with the lines left to it in `text`, plus n_lines and n_dropped.
+
+    Edge cases: a null or empty text is one empty line and comes back as an empty text. Rows with
+    the same doc_id count as one document and lose the same keys; rows without an id count
+    together as one document, which keeps a shared line only if no other document has it (then
+    it is not shared). An empty table gives no row. Other columns pass through unchanged, but for
+    those named n_lines or n_dropped, which the new ones replace.
+    """
+    out = F.col("out")
+    counts = {n: out.getField(n) for n in ("text", "n_lines", "n_dropped")}
+    return unpacked(_deduped(docs, min_chars, min_documents), docs.columns, **counts)
+
+
+def rewrite_texts(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """The documents, all columns as they are, with the lines left to them (see `dedup_lines`)."""
+    done = unpacked(_deduped(docs, min_chars, min_documents), docs.columns, text=F.col("out.text"))
+    return done.select(*map(named, docs.columns))
 
 
 @query(

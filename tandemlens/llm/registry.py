@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("lines", "packing", "simhash", "tokens")
+MODULES = (
+    "chat",
+    "decontaminate",
+    "language",
+    "licenses",
+    "lines",
+    "packing",
+    "quality",
+    "simhash",
+    "tokens",
+    "toxicity",
+)
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
