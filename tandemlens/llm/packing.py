@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,11 +50,17 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, which so keeps the words it has met."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full windows of each text, and its rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path), np.array([END], "<u4").tobytes()
+        encode, end = encoder(path), np.array([END], "<u4").tobytes()
         for batch in batches:
             at, starts, lengths, sums, totals = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
