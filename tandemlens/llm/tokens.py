@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -53,11 +54,17 @@ def frequencies(text: str, path: str, chunks: Chunks) -> tuple[Counter, int]:
     return found, len(pieces) // 2
 
 
+@lru_cache(maxsize=1)
+def cut_chunks() -> Chunks:
+    """Pre-tokens of the chunks that a worker has met in any of its tasks."""
+    return Chunks(PATTERN.findall)
+
+
 def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     """(token, documents, pieces): each distinct pre-token once."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, seen = Chunks(PATTERN.findall), Counter()
+        chunks, seen = cut_chunks(), Counter()
 
         def batch_of(seen: Counter) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -111,15 +118,20 @@ def count_tokens(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     names = ["doc_id", "row", "token", "n", "n_bytes"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, row = Chunks(PATTERN.findall), TaskContext.get().partitionId() << 33
+        chunks, row = cut_chunks(), TaskContext.get().partitionId() << 33
         pieces = dict(zip(known.value.column(0).to_pylist(), known.value.column(1).to_pylist()))
         for batch in batches:
             at, rows, tokens, ns, sizes = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 text, row = text or "", row + 1
                 found, total = frequencies(text, path, chunks)
-                rare = found.keys() - pieces.keys()
-                total += sum(n * pieces[token] for token, n in found.items() if token not in rare)
+                rare = []
+                for token, n in found.items():
+                    known_pieces = pieces.get(token)
+                    if known_pieces is None:
+                        rare.append(token)
+                    else:
+                        total += n * known_pieces
                 at.extend([i] * (len(rare) + 1))
                 rows.extend([row] * (len(rare) + 1))
                 tokens.append(f"\0{row}")  # no pre-token looks like this: it joins nothing
