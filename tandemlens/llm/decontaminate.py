@@ -11,7 +11,8 @@ the words around them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,16 @@ def symbols_of(chunk: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(chunk.lower()))
 
 
+@lru_cache(maxsize=1)
+def chunk_symbols() -> Chunks:
+    """Word hashes of the chunks that a worker has met in any of its tasks."""
+    return Chunks(symbols_of)
+
+
 def words_of(text: str, chunks: Chunks) -> np.ndarray:
-    found = [s for chunk in map(chunks.__getitem__, text.split()) for s in chunk]
-    return np.array(found, np.uint64)
+    chunks.trim()
+    found = chain.from_iterable(map(chunks.__getitem__, text.split()))
+    return np.fromiter(found, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,7 +95,7 @@ class Items:
     """A block of benchmark items with the hashes of their windows, for one scan."""
 
     def __init__(self, rows: list[tuple[object, str]]):
-        chunks = Chunks(symbols_of)
+        chunks = chunk_symbols()
         self.ids, self.words = [], []
         for item_id, text in rows:
             words = words_of(text, chunks)
@@ -208,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(Items(block))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, chunks, kind = held.value, Chunks(symbols_of), None
+            items, chunks = held.value, chunk_symbols()
             for batch in batches:
                 at, ids, distances = [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):

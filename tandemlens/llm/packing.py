@@ -47,6 +47,8 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not plain(text, self.path):
             return self._library(text)
+        self.words.trim()
+        self.chunks.trim()
         return b"".join(map(self.chunks.__getitem__, text.lower().split()))
 
 

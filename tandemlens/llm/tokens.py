@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlens.llm.pretokens import Chunks, load, plain, special_strings, tokenizer_path
+from tandemlens.llm.pretokens import CACHE, Chunks, load, plain, special_strings, tokenizer_path
 from tandemlens.llm.registry import query
 from tandemlens.session import durable
 from tandemlens.sources.tables import table
@@ -34,50 +34,50 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 _ACROSS = regex.compile(r"\s (?!\S)")
 
 
-def frequencies(text: str, path: str, chunks: Chunks) -> tuple[Counter, int]:
-    """Pre-tokens of a text with their frequencies, and how many special tokens stand in it."""
-    found: Counter = Counter()
-    if plain(text, path):
-        if _ACROSS.search(text):  # white space that a cut at blanks would divide
-            found.update(PATTERN.findall(text))
-            return found, 0
-        first, *rest = text.split(" ")
-        found.update(chunks[first])
-        for chunk, n in Counter(rest).items():
-            for piece in chunks[" " + chunk]:
-                found[piece] += n
-        return found, 0
-    pieces = regex.split("(" + "|".join(map(regex.escape, special_strings(path))) + ")", text)
-    cut = load(path).pre_tokenizer.pre_tokenize_str
-    for part in pieces[::2]:
-        found.update(part[a:b] for _, (a, b) in cut(part))
-    return found, len(pieces) // 2
+def chunks_of(text: str, path: str) -> list[str] | None:
+    """Pieces of a text that can be cut into pre-tokens one by one; None if the text must be cut whole.
 
+    A cut before a blank changes nothing, unless the blank stands within other white space.
+    """
+    if not plain(text, path) or _ACROSS.search(text):
+        return None
+    first, *rest = text.split(" ")
+    return [first, *(" " + chunk for chunk in rest)]
 
-@lru_cache(maxsize=1)
-def cut_chunks() -> Chunks:
-    """Pre-tokens of the chunks that a worker has met in any of its tasks."""
-    return Chunks(PATTERN.findall)
+
+def whole_cut(text: str, path: str) -> tuple[list[str], int]:
+    """The library's own pre-tokens of a text, and how many special tokens stand in it."""
+    pieces = regex.split("(" + "|".join(map(regex.escape, special_strings(path))) + ")", text)
+    cut = load(path).pre_tokenizer.pre_tokenize_str
+    return [part[a:b] for part in pieces[::2] for _, (a, b) in cut(part)], len(pieces) // 2
 
 
 def vocabulary(docs: DataFrame, path: str) -> DataFrame:
-    """(token, documents, pieces): each distinct pre-token once."""
+    """(token, n, pieces): each distinct pre-token once, with its occurrences and its pieces."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, seen = cut_chunks(), Counter()
-
-        def batch_of(seen: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "documents"]
+        chunks, seen = Counter(), Counter()
+
+        def batch_of() -> pa.RecordBatch:
+            for chunk, n in chunks.items():
+                for token in PATTERN.findall(chunk):
+                    seen[token] += n
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"]
             )
+            chunks.clear(), seen.clear()
+            return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(frequencies(text or "", path, chunks)[0].keys())
-                if len(seen) >= GATHERED:
-                    yield batch_of(seen)
-                    seen.clear()
-        yield batch_of(seen)
+                parts = chunks_of(text or "", path)
+                if parts is None:
+                    seen.update(whole_cut(text, path)[0])
+                else:
+                    chunks.update(parts)
+                if len(seen) + len(chunks) >= GATHERED:
+                    yield batch_of()
+        yield batch_of()
 
     @F.arrow_udf("int")
     def pieces(tokens: pa.Array) -> pa.Array:
@@ -86,16 +86,55 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
 
     return (
         docs.select("text")
-        .mapInArrow(gather, "token string, documents bigint")
+        .mapInArrow(gather, "token string, n bigint")
         .groupBy("token")
-        .agg(F.sum("documents").alias("documents"))
+        .agg(F.sum("n").alias("n"))
         .withColumn("pieces", pieces("token"))
     )
 
 
+class Counts:
+    """What the pre-tokens of a text come to: pieces of those with known counts, and the others."""
+
+    def __init__(self, path: str, known: dict[str, int]):
+        self.path, self.known = path, known
+        self.rare: dict[str, list[str]] = {}
+        self.chunks = Chunks(self._chunk)
+
+    def _split(self, tokens: list[str]) -> tuple[int, list[str]]:
+        known = list(map(self.known.get, tokens))
+        if None not in known:
+            return sum(known), []
+        return sum(n for n in known if n is not None), [t for t, n in zip(tokens, known) if n is None]
+
+    def _chunk(self, chunk: str) -> int:
+        total, rare = self._split(PATTERN.findall(chunk))
+        if rare:
+            self.rare[chunk] = rare
+        return total
+
+    def __call__(self, text: str) -> tuple[int, Counter]:
+        """Pieces so far (special tokens included), and frequencies of the rare pre-tokens."""
+        parts = chunks_of(text, self.path)
+        if parts is None:
+            tokens, special = whole_cut(text, self.path)
+            total, rare = self._split(tokens)
+            return total + special, Counter(rare)
+        if len(self.chunks) > CACHE:
+            self.chunks.clear(), self.rare.clear()
+        total = sum(map(self.chunks.__getitem__, parts))
+        return total, Counter(token for chunk in parts if chunk in self.rare for token in self.rare[chunk])
+
+
+@lru_cache(maxsize=1)
+def counts_by(path: str, held) -> Counts:
+    """One for all tasks of a worker that count with the same broadcast."""
+    return Counts(path, dict(zip(held.value["token"].to_pylist(), held.value["pieces"].to_pylist())))
+
+
 def frequent(words: DataFrame, most: int = FREQUENT) -> int:
-    """Smallest power of two such that at most `most` pre-tokens stand in as many documents."""
-    level = F.floor(F.log2("documents")).cast("int").alias("level")
+    """Smallest power of two such that at most `most` pre-tokens occur as often."""
+    level = F.floor(F.log2("n")).cast("int").alias("level")
     total = 0
     for row in words.groupBy(level).count().orderBy(F.desc("level")).toLocalIterator():  # 64 rows at most
         total += row["count"]
@@ -113,31 +152,23 @@ def count_tokens(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
     """
     words = durable(vocabulary(docs, path), "pretokens")
     least = frequent(words, most)
-    common = words.filter(F.col("documents") >= least).select("token", "pieces").toArrow()
+    common = words.filter(F.col("n") >= least).select("token", "pieces").toArrow()
     known = docs.sparkSession.sparkContext.broadcast(common)
     names = ["doc_id", "row", "token", "n", "n_bytes"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, row = cut_chunks(), TaskContext.get().partitionId() << 33
-        pieces = dict(zip(known.value.column(0).to_pylist(), known.value.column(1).to_pylist()))
+        counts, row = counts_by(path, known), TaskContext.get().partitionId() << 33
         for batch in batches:
             at, rows, tokens, ns, sizes = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 text, row = text or "", row + 1
-                found, total = frequencies(text, path, chunks)
-                rare = []
-                for token, n in found.items():
-                    known_pieces = pieces.get(token)
-                    if known_pieces is None:
-                        rare.append(token)
-                    else:
-                        total += n * known_pieces
+                total, rare = counts(text)
                 at.extend([i] * (len(rare) + 1))
                 rows.extend([row] * (len(rare) + 1))
                 tokens.append(f"\0{row}")  # no pre-token looks like this: it joins nothing
-                tokens.extend(rare)
+                tokens.extend(rare.keys())
                 ns.append(total)
-                ns.extend(map(found.__getitem__, rare))
+                ns.extend(rare.values())
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 sizes.extend([0] * len(rare))
             yield pa.RecordBatch.from_arrays(
@@ -152,7 +183,7 @@ def count_tokens(docs: DataFrame, path: str, most: int = FREQUENT) -> DataFrame:
             )
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, row bigint, token string, n bigint, n_bytes bigint"
-    rare = words.filter(F.col("documents") < least).select("token", "pieces")
+    rare = words.filter(F.col("n") < least).select("token", "pieces")
     return (
         docs.select("doc_id", "text")
         .mapInArrow(sums, schema)

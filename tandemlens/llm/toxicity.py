@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,7 @@ class Reader:
         self.chunks = Chunks(lambda chunk: tuple(filter(keep, word_features(chunk))))
 
     def __call__(self, text: str) -> set[str]:
+        self.chunks.trim()
         chunks, found = set(text.split()), set()
         for chunk in chunks:
             features = self.chunks[chunk]
@@ -214,19 +216,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> tuple[dict[
     return {f: float(v) for f, v in zip(features, w) if abs(v) > 1e-3}, b
 
 
+@lru_cache(maxsize=1)
+def reader_of(held) -> Reader:
+    """One for all tasks of a worker that score with the same broadcast."""
+    return Reader(held.value[0])
+
+
 def score(spark: SparkSession, text: Column, model: tuple[dict[str, float], float]) -> Column:
     """Score from 0 to 1 of whole texts; a null text scores as an empty one, on the bias alone."""
     held = spark.sparkContext.broadcast(model)
-    reader: list[Reader] = []
 
     @F.arrow_udf(T.DoubleType())
     def toxicity(texts: pa.Array) -> pa.Array:
         weights, bias = held.value
-        if not reader:
-            reader.append(Reader(weights))
-        odds = [
-            bias + sum(weights[f] for f in reader[0](t.as_py() or "") if f in weights) for t in texts
-        ]
+        reader = reader_of(held)
+        odds = [bias + sum(weights[f] for f in reader(t.as_py() or "") if f in weights) for t in texts]
         return pa.array(1 / (1 + np.exp(-np.clip(np.array(odds, np.float64), -50, 50))))
 
     return toxicity(text)
