@@ -51,7 +51,7 @@ def encode(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> Dat
     heads = entities.select(F.col("entity").alias("head"), F.col("id").alias("src"))
     tails = entities.select(F.col("entity").alias("tail"), F.col("id").alias("dst"))
     rels = relations.select("relation", F.col("id").alias("rel"))
-    known = triples.select("pos", "head", "relation", "tail").join(rels, "relation")
+    known = lookup(triples.select("pos", "head", "relation", "tail"), rels, "relation")
     known = lookup(known, heads, "head", keys_of=triples)
     known = lookup(known, tails, "tail", keys_of=triples)
     return known.select("pos", "src", "rel", "dst")
@@ -64,7 +64,7 @@ def with_labels(triples: DataFrame, entities: DataFrame, relations: DataFrame) -
     rels = relations.select(
         F.col("relation_id").alias("relation"), F.col("relation_name").alias("_r")
     )
-    found = triples.join(rels, "relation", "left")
+    found = lookup(triples, rels, "relation", "left")
     found = lookup(found, heads, "head", "left", keys_of=triples)
     found = lookup(found, tails, "tail", "left", keys_of=triples)
     return found.select(
@@ -159,19 +159,22 @@ def gat_messages(
 
     `features` holds (node, x) with x already projected; the first size/heads
     values belong to the first head. `att_src` and `att_dst` give one score per
-    head and node. The softmax is a ratio of two sums, so it is one aggregation;
-    the largest source score of the graph bounds every logit from above and keeps
-    the exponentials finite.
+    head and node. The softmax is a ratio of two sums. Every logit is taken less the largest one of
+    its target, so the largest weight of each target is 1 and no sum can vanish.
     """
     width = size // heads
     scored = features.select("node", "x", att_src.alias("a"), att_dst.alias("b"))
-    top = [F.max(F.col("a")[h]).alias(f"m{h}") for h in range(heads)]
-    ceiling = scored.agg(F.array(*top).alias("m")).scalar()
     sources = scored.select(F.col("node").alias("src"), "x", "a")
     targets = scored.select(F.col("node").alias("dst"), "b")
     loops = scored.select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    pairs = lookup(edges.select("src", "dst").unionByName(loops), sources, "src")
-    pairs = lookup(pairs, targets, "dst").withColumn("m", ceiling)
+    every = edges.select("src", "dst").unionByName(loops)
+    top = [F.max(F.col("a")[h]).alias(f"m{h}") for h in range(heads)]
+    largest = lookup(every, sources.drop("x"), "src").groupBy("dst").agg(*top)
+    bounds = durable(
+        targets.join(largest, "dst").select("dst", "b", F.array(*[F.col(f"m{h}") for h in range(heads)]).alias("m")),
+        "attention-bounds",
+    )
+    pairs = lookup(lookup(every, sources, "src"), bounds, "dst")
 
     def leaky(z: Column) -> Column:
         return F.when(z > 0, z).otherwise(z * 0.2)

@@ -31,10 +31,11 @@ def filter_then_limit(df: DataFrame, n: int, order: Column | str, keep: Column)
 def cap_per_split(df: DataFrame, split: str, caps: dict[str, int], order: Column) -> DataFrame:
     """A different cap on the input rows of every split; a split without one is kept whole."""
     limit = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col(split)]
-    capped = df.where(F.col(split).isin(*caps))
+    has_cap = F.coalesce(F.col(split).isin(*caps), F.lit(False))
+    capped = df.where(has_cap)
     ranked = top_per_group(capped, [split], [order], max(caps.values()), "_place")
     return ranked.where(F.col("_place") <= limit).drop("_place").unionByName(
-        df.where(~F.col(split).isin(*caps))
+        df.where(~has_cap)
     )
 
 

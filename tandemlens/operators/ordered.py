@@ -9,6 +9,7 @@ split size do its rows take the second route: range partitioning on
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tandemlens.session import durable, fits_broadcast, split_rows
 
 
 PRUNE_ROWS = 1_000
+SALTS = 64
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
@@ -24,6 +26,13 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
 
 
+def by_group(df: DataFrame, other: DataFrame, groups: Sequence[str], how: str) -> DataFrame:
+    """Join on `groups`, of which null is one like any other."""
+    own = other.withColumnsRenamed({g: f"_g_{g}" for g in groups})
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups])
+    return df.join(own, same, how).drop(*[f"_g_{g}" for g in groups])
+
+
 def running_totals(
     df: DataFrame,
     groups: Sequence[str],
@@ -55,8 +64,8 @@ def running_totals(
         if total == 0:
             return _in_groups(keyed, groups, keys, sums, prior_max, rank).drop(*helpers)
         hot = durable(hot, "hot-groups")
-        cold = keyed.join(hot, groups, "left_anti")
-        big = keyed.join(hot, groups, "left_semi")
+        cold = by_group(keyed, hot, groups, "left_anti")
+        big = by_group(keyed, hot, groups, "left_semi")
         result = _in_groups(cold, groups, keys, sums, prior_max, rank).unionByName(
             _in_ranges(big, groups, keys, sums, prior_max, rank, total, limit)
         )
@@ -107,7 +116,7 @@ def _in_ranges(df, groups, keys, sums, prior_max, rank, total, limit):
         *[F.max(f"_rm_{n}").over(earlier).alias(f"_om_{n}") for n in prior_max],
     )
     local = _in_groups(placed, place, keys, sums, prior_max, rank)
-    joined = local.join(offsets, place)
+    joined = by_group(local, offsets, place, "inner")
     own = [c for c in df.columns]
     return joined.select(
         *own,
@@ -147,11 +156,25 @@ def lookup(
     """
     if fits_broadcast(dim):
         return big.join(F.broadcast(dim), on, how)
+    if how == "left":  # rows without a key match nothing and must not meet in one task
+        nothing = [F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in dim.columns if c != on]
+        without = big.where(F.col(on).isNull()).select(on, *[c for c in big.columns if c != on], *nothing)
+        return _lookup(big.where(F.col(on).isNotNull()), dim, on, how, keys_of).unionByName(without)
+    return _lookup(big.where(F.col(on).isNotNull()), dim, on, how, keys_of)
+
+
+def _lookup(big: DataFrame, dim: DataFrame, on: str, how: str, keys_of: DataFrame | None) -> DataFrame:
     limit = split_rows(big.sparkSession)
     hot = hot_groups((big if keys_of is None else keys_of).select(on), [on], limit).select(on)
     if hot.isEmpty():
         return big.join(dim, on, how)
     hot = durable(hot, "hot-keys")
     hot_dim = durable(dim.join(hot, on, "left_semi"), "hot-dim")
-    hot_rows = big.join(hot, on, "left_semi").join(hot_dim, on, how)
+    hot_rows = big.join(F.broadcast(hot), on, "left_semi")  # count / split size keys at most
+    if fits_broadcast(hot_dim):
+        hot_rows = hot_rows.join(F.broadcast(hot_dim), on, how)
+    else:  # wide rows: each is copied to SALTS places among which its key's rows are dealt
+        copies = hot_dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = hot_rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        hot_rows = salted.join(copies, [on, "_salt"], how).drop("_salt")
     return big.join(hot, on, "left_anti").join(dim, on, how).unionByName(hot_rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     """Exact number of distinct non-null values per column, in one row per group.
 
     Each column is reduced to its distinct values first, so a value that fills
-    a third of the rows never leaves the map side more than once per task.
+    a third of the rows never leaves the map side more than once per task. A group whose
+    values are all null, or whose key is, keeps its row.
     """
     keys = list(by)
 
@@ -41,9 +43,9 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
         return F.when(F.length(text) > 64, F.concat(F.lit("\0"), F.sha2(text, 256))).otherwise(text)
 
     values = [F.struct(F.lit(c).alias("name"), short(c).alias("v")) for c in columns]
-    tall = df.select(*keys, F.inline(F.array(*values))).where(F.col("v").isNotNull()).distinct()
+    tall = df.select(*keys, F.inline(F.array(*values))).distinct()
     return tall.groupBy(*keys).agg(
-        *[F.count_if(F.col("name") == c).alias(f"unique_{c}") for c in columns]
+        *[F.count_if((F.col("name") == c) & F.col("v").isNotNull()).alias(f"unique_{c}") for c in columns]
     )
 
 
@@ -98,7 +100,16 @@ def qa_profile(df: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sqrt(F.greatest(variance, F.lit(0.0))).alias("answer_length_std"),
         F.count_if("_ok").alias("questions_with_answers"),
     )
-    return stats.join(distinct_counts(df, ["question"], by), list(by))
+    return join_groups(stats, distinct_counts(df, ["question"], by), by)
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join two tables of one row per group on `by`, null groups included."""
+    if not by:
+        return left.crossJoin(right)  # one row each
+    own = right.withColumnsRenamed({k: f"_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
+    return left.join(own, same).drop(*[f"_{k}" for k in by])
 
 
 def kg_profile(triples: DataFrame) -> DataFrame:

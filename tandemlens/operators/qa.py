@@ -80,18 +80,20 @@ def label(answers: Column) -> Column:
 
 def train_needs_answer(df: DataFrame) -> DataFrame:
     """Unanswered questions are dropped from the training split only."""
-    return df.where((F.col("split") != "train") | F.col("has_answer"))
+    known = F.coalesce(F.col("split") != "train", F.lit(True))
+    return df.where(known | F.coalesce("has_answer", F.lit(False)))
 
 
 def has_valid_answer(df: DataFrame) -> Column:
-    """Non-blank `answers` first, then any short answer, then any long answer."""
-    checks = [any_answer(F.col("answers"))] if "answers" in df.columns else []
-    for name in ("short_answers", "long_answers"):
-        if name in df.columns:
-            checks.append(F.coalesce(F.size(name) > 0, F.lit(False)))
+    """The first of `answers`, `short_answers` and `long_answers` that is not empty decides.
+
+    A non-empty list of answers must hold one that is not blank, whatever the other columns say.
+    """
     ok = F.lit(False)
-    for check in checks:
-        ok = ok | check
+    for name in ("long_answers", "short_answers", "answers"):
+        if name in df.columns:
+            filled = F.coalesce(F.size(name) > 0, F.lit(False))
+            ok = F.when(filled, any_answer(F.col(name)) if name == "answers" else F.lit(True)).otherwise(ok)
     return ok
 
 

@@ -30,13 +30,19 @@ def _written(spark: SparkSession, df: DataFrame, out: str, task: str, dataset: s
 
 
 def retrieval(
-    spark: SparkSession, folder: str, out: str, dataset: str, split: str = "test"
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    dataset: str,
+    split: str = "test",
+    cap: int | None = None,
 ) -> DataFrame:
-    """corpus, queries and judgements to capped query-passage pairs."""
+    """corpus, queries and judgements to query-passage pairs, at most `cap` of them if given."""
     corpus, queries, qrels = readers.beir(spark, folder, split)
     pairs = qa.retrieval_pairs(queries, qrels, corpus).withColumn("dataset", F.lit(dataset))
-    capped = qa.cap_pairs(pairs, "dataset", [F.col("query_id"), F.col("passage_id")])
-    return _written(spark, capped.withColumn("split", F.lit(split)), out, "ir", dataset)
+    if cap is not None:
+        pairs = qa.cap_pairs(pairs, "dataset", [F.col("query_id"), F.col("passage_id")], cap)
+    return _written(spark, pairs.withColumn("split", F.lit(split)), out, "ir", dataset)
 
 
 def questions(spark: SparkSession, files: dict[str, str], out: str, dataset: str) -> DataFrame:
@@ -62,9 +68,9 @@ def answered_questions(
 
 
 def documents_with_tokens(
-    spark: SparkSession, path: str, out: str, dataset: str, max_tokens: int = 100
+    spark: SparkSession, path: str, out: str, dataset: str, max_tokens: int | None = None
 ) -> DataFrame:
-    """Nested Parquet to question, document fields and the first tokens."""
+    """Nested Parquet to question, document fields and tokens, the first `max_tokens` if given."""
     rows = readers.nq_slice(spark, path, max_tokens).withColumn("split", F.lit("train"))
     return _written(spark, rows, out, "qa", dataset)
 

@@ -82,7 +82,7 @@ def complementarity_test(spark, root):
 
 
 def _uniform_sql(key: str) -> str:
-    return f"(('0x' || substr(md5({key} || ':' || r), 1, 8))::bigint / 4294967296e0)"
+    return f"(('0x' || substr(md5({key} || ':' || r), 1, 13))::bigint / 4503599627370496e0)"
 
 
 _WEIGHT_SQL = " + ".join(
@@ -93,26 +93,26 @@ _WEIGHT_SQL = " + ".join(
 @query(
     f"""
 WITH w AS (SELECT r, fusion, {_WEIGHT_SQL} AS w
-  FROM {PREDICTIONS_SQL}, (SELECT unnest(range(1, 201)) AS r)),
+  FROM {PREDICTIONS_SQL}, (SELECT unnest(range(1, 1001)) AS r)),
 m AS (SELECT r, sum(w * fusion) / sum(w) AS m FROM w GROUP BY r)
 SELECT round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper,
   count(*) AS replicates FROM m"""
 )
 def bootstrap_ci(spark, root):
     scored = predictions(spark, root)
-    return rounded(significance.bootstrap_interval(scored, "example_id", "fusion", 200))
+    return rounded(significance.bootstrap_interval(scored, "example_id", "fusion"))
 
 
 @query(
     f"""
 WITH d AS (SELECT r, CASE WHEN {_uniform_sql('example_id')} >= 0.5 THEN fusion - kg ELSE 0 END AS x,
-    fusion - kg AS y FROM {PREDICTIONS_SQL}, (SELECT unnest(range(1, 201)) AS r)),
+    fusion - kg AS y FROM {PREDICTIONS_SQL}, (SELECT unnest(range(1, 10001)) AS r)),
 m AS (SELECT r, avg(x) AS x, avg(y) AS y FROM d GROUP BY r)
 SELECT round(max(y), 6) AS observed_diff, round(avg((abs(x) >= abs(y))::int), 6) AS p_value FROM m"""
 )
 def randomization_test(spark, root):
     scored = predictions(spark, root)
-    return rounded(significance.randomization_test(scored, "example_id", "kg", "fusion", 200))
+    return rounded(significance.randomization_test(scored, "example_id", "kg", "fusion"))
 
 
 @query(

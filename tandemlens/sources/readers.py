@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
@@ -54,13 +55,26 @@ def json_documents(spark: SparkSession, path, schema: str) -> DataFrame:
 
 
 def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array if the file is one, else JSON lines with malformed lines dropped."""
-    first = (
-        spark.read.text(path).where(~is_blank(F.col("value"))).select(strip(F.col("value"))).first()
+    """Each file by its own kind: a JSON array or one object over several lines as a document,
+    anything else as JSON lines with malformed lines dropped.
+
+    The first line that is not blank decides for its file. Only one line and the name of each
+    file go to the driver.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+        strip(F.col("value")).alias("line"),
     )
-    if first is not None and first[0].startswith("["):
-        return json_documents(spark, path, schema)
-    return json_lines(spark, path, schema)
+    firsts = lines.where(F.col("line") != "").groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    starts_document = F.col("line").startswith("[") | (
+        F.col("line").startswith("{") & F.try_parse_json("line").isNull()
+    )
+    kinds = {True: [], False: []}
+    for row in firsts.select("file", starts_document.alias("document")).toLocalIterator():
+        kinds[row["document"]].append(row["file"])
+    parts = [read(spark, kinds[kind], schema) for kind, read in ((True, json_documents), (False, json_lines)) if kinds[kind]]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def ir_corpus(spark: SparkSession, path) -> DataFrame:
@@ -89,6 +103,20 @@ def qrels(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_qrels(lines: DataFrame) -> DataFrame:
+    """(query_id, doc_id, relevance); fails on a relevance that is no integer, as on any bad cast."""
+    rows = graded_lines(lines)
+    return rows.select("query_id", "doc_id", F.col("grade").cast("int").alias("relevance"))
+
+
+def parse_qrels_with_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(judgements, rows whose relevance is no integer)."""
+    rows = graded_lines(lines).withColumn("relevance", F.col("grade").try_cast("int"))
+    bad = F.col("relevance").isNull()
+    return rows.where(~bad).drop("grade"), rows.where(bad).drop("relevance")
+
+
+def graded_lines(lines: DataFrame) -> DataFrame:
+    """(query_id, doc_id, grade) of lines with three or four fields, without the header."""
     rows = tsv_fields(lines, 3)
     wide = F.size("parts") >= 4
     p = F.col("parts")
@@ -96,8 +124,8 @@ def parse_qrels(lines: DataFrame) -> DataFrame:
     return rows.select(
         p[0].alias("query_id"),
         F.when(wide, p[2]).otherwise(p[1]).alias("doc_id"),
-        relevance.try_cast("int").alias("relevance"),
-    ).where(F.col("relevance").isNotNull())
+        relevance.alias("grade"),
+    ).where(~((F.col("query_id") == "query-id") & (F.col("grade") == "score")))
 
 
 def beir(spark: SparkSession, folder: str, split: str = "test"):
@@ -127,9 +155,12 @@ def numbered_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def passages(spark: SparkSession, path, cap: int = 100_000) -> DataFrame:
-    """id/text pairs among the first `cap` lines; the cap counts lines, not kept rows."""
-    first = numbered_lines(spark, path).where(F.col("pos") < cap)
+def passages(spark: SparkSession, path, cap: int | None = None) -> DataFrame:
+    """id/text pairs, of the first `cap` lines only if a cap is given; it counts lines, not kept rows."""
+    if cap is None:
+        first = spark.read.text(path)
+    else:
+        first = numbered_lines(spark, path).where(F.col("pos") < cap)
     return tsv_fields(first, 2).select(
         F.col("parts")[0].alias("doc_id"), F.col("parts")[1].alias("text")
     )
@@ -216,32 +247,56 @@ def nq_tokens(tokens: Column) -> Column:
     return F.transform(tokens["token"], lambda t: F.struct(t.alias("token")))
 
 
-def nq_slice(spark: SparkSession, path, max_tokens: int = 100) -> DataFrame:
-    """Question, document fields and the first tokens; rows without id or question are dropped."""
+def nq_slice(spark: SparkSession, path, max_tokens: int | None = None) -> DataFrame:
+    """Question, document fields and tokens (the first `max_tokens` if given).
+
+    Rows without id or question are dropped.
+    """
     raw = spark.read.schema(schemas.NQ_RAW).parquet(path)
     kept = raw.where(~is_blank(F.col("id")) & ~is_blank(F.col("question.text")))
+    tokens = F.coalesce("document.tokens.token", F.array().cast("array<string>"))
     return kept.select(
         "id",
         F.col("question.text").alias("question"),
         text_or_empty("document.title").alias("document_title"),
         text_or_empty("document.url").alias("document_url"),
-        F.slice(
-            F.coalesce("document.tokens.token", F.array().cast("array<string>")), 1, max_tokens
-        ).alias("document_tokens"),
+        (tokens if max_tokens is None else F.slice(tokens, 1, max_tokens)).alias("document_tokens"),
         "annotations",
     )
 
 
-def parquet_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every readable Parquet file below a folder, whatever its name; others are skipped."""
+def parquet_files(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
+    """Every readable Parquet file below a folder, whatever its name; others are skipped.
+
+    Without a schema, that of some file is taken, which then must be readable.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
     return (
-        spark.read.option("recursiveFileLookup", True)
+        reader.option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
         .option("mergeSchema", False)
         .parquet(folder)
     )
 
 
+def parquet_files_with_rejects(
+    spark: SparkSession, folder: str, schema: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, path of every file that gave no row: unreadable ones, and readable ones without rows)."""
+    rows = parquet_files(spark, folder, schema)
+    used = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
+    return rows, file_sizes(spark, folder).join(used, "path", "left_anti")
+
+
+def column_union(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(column, n_files): every column name over Parquet files and how many files have it.
+
+    Only footers are read.
+    """
+    names = [(c,) for p in paths for c in spark.read.parquet(p).columns]
+    return spark.createDataFrame(names, "column string").groupBy("column").agg(F.count("*").alias("n_files"))
+
+
 def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """(path, size_mb) of every file below a folder. Only metadata is read, not the bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

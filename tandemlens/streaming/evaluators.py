@@ -18,12 +18,14 @@ from tandemlens.session import scratch_path
 def table_stream(
     spark: SparkSession, root: str, name: str, schema: str, files_per_trigger: int = 64
 ) -> DataFrame:
-    """A table's files as a stream, a bounded number per micro-batch."""
+    """A table's files as a stream, a bounded number per micro-batch; a file or a folder of parts.
+
+    The file source takes a single file only by a pattern, so the name is given as one.
+    """
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .parquet(root)
+        .parquet(f"{root.rstrip('/')}/{name}.parque[t]")
     )
 
 
@@ -37,6 +39,7 @@ def binary_metrics_stream(
     spark = stream.sparkSession
     target = scratch_path(spark, "stream-counts")
     counts = stream.groupBy(*by).agg(*confusion(score, label))
+    spark.createDataFrame([], counts.schema).write.parquet(target)  # what an empty stream leaves
 
     def publish(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(target)
