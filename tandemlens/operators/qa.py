@@ -41,10 +41,11 @@ def span_answers(tokens: Column, spans: Column, cut: int | None = None, loose: b
     return F.array_compact(F.transform(spans, one))
 
 
-def nq_record(df: DataFrame) -> DataFrame:
+def nq_record(df: DataFrame, short_only: bool = False) -> DataFrame:
     """Answer strings and flags from (example_id, question, tokens, short_spans, long_spans).
 
-    Rows without a question or with neither kind of answer are dropped.
+    Rows without a question or with neither kind of answer are dropped; with `short_only`
+    those without a short answer.
     """
     words = df.where(text_or_empty("question") != "").withColumn(
         "tokens", F.transform("tokens", lambda t: t["token"])
@@ -55,7 +56,7 @@ def nq_record(df: DataFrame) -> DataFrame:
         long_answers=span_answers(F.col("tokens"), F.col("long_spans"), LONG_ANSWER_CHARS),
     )
     short, long = F.size("short_answers") > 0, F.size("long_answers") > 0
-    return rows.where(short | long).select(
+    return rows.where(short if short_only else short | long).select(
         "question",
         "short_answers",
         "long_answers",

@@ -109,3 +109,31 @@ def average_precision(ranked: DataFrame) -> DataFrame:
 
 def mean_average_precision(ranked: DataFrame) -> DataFrame:
     return average_precision(ranked).agg(F.avg("ap").alias("map"))
+
+
+def first_hits(ranked: DataFrame, ks: Sequence[int] = (1, 3, 10)) -> DataFrame:
+    """(query_id, reciprocal_rank, hits_k ...): where the first relevant row of each query stands.
+
+    Ranks are counted over all rows of a query; one without relevant rows gets zeros.
+    """
+    placed = running_totals(ranked, ["query_id"], score_order(), rank="rank")
+    first = F.min(F.when(F.col("relevance") > 0, F.col("rank")))
+    found = placed.groupBy("query_id").agg(first.alias("first"))
+    hits = [F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0)).alias(f"hits_{k}") for k in ks]
+    reciprocal = F.coalesce(1.0 / F.col("first"), F.lit(0.0))
+    return found.select("query_id", reciprocal.alias("reciprocal_rank"), *hits)
+
+
+def mean_reciprocal_rank(ranked: DataFrame, ks: Sequence[int] = (1, 3, 10)) -> DataFrame:
+    """mrr and hits@k, means over queries."""
+    return first_hits(ranked, ks).agg(
+        F.avg("reciprocal_rank").alias("mrr"), *[F.avg(f"hits_{k}").alias(f"hits_{k}") for k in ks]
+    )
+
+
+def full_recall_at(ranked: DataFrame, k: int = 100) -> DataFrame:
+    """Mean over queries of the share of all relevant rows that stand among the first k."""
+    found = top_k(ranked, k).groupBy("query_id").agg(F.count_if(F.col("relevance") > 0).alias("found"))
+    every = ranked.groupBy("query_id").agg(F.count_if(F.col("relevance") > 0).alias("relevant"))
+    both = every.join(found, "query_id", "left")
+    return both.agg(F.avg(ratio(F.coalesce("found", F.lit(0)), F.col("relevant"))).alias(f"recall_{k}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandemlens.functions.vectors import sigmoid
-from tandemlens.operators import binary, complementarity, ranking
+from tandemlens.operators import answers, binary, complementarity, ranking
 from tandemlens.operators.ordered import running_totals
 from tandemlens.plans.catalog import query, rnd, rounded
 from tandemlens.plans.inputs import (
@@ -254,3 +254,85 @@ def model_ranking(spark, root):
     order = [-F.col("f1"), F.col("model")]
     board = running_totals(binary_metrics(spark, root), [], order, rank="place")
     return board.select("place", "model", "f1")
+
+
+@query(
+    f"""
+WITH q AS (SELECT query_id, min(rank) FILTER (relevance > 0) AS first FROM {ORDERED_SQL} GROUP BY query_id)
+SELECT round(avg(coalesce(1e0 / first, 0)), 6) AS mrr, round(avg(coalesce((first <= 1)::int, 0)), 6) AS hits_1,
+  round(avg(coalesce((first <= 3)::int, 0)), 6) AS hits_3,
+  round(avg(coalesce((first <= 10)::int, 0)), 6) AS hits_10 FROM q"""
+)
+def reciprocal_rank(spark, root):
+    return rounded(ranking.mean_reciprocal_rank(ranked(spark, root)))
+
+
+@query(
+    f"""
+WITH q AS (SELECT query_id, count(*) FILTER (relevance > 0 AND rank <= 100) AS f,
+    count(*) FILTER (relevance > 0) AS n FROM {ORDERED_SQL} GROUP BY query_id)
+SELECT round(avg(CASE WHEN n > 0 THEN f / n ELSE 0e0 END), 6) AS recall_100 FROM q"""
+)
+def recall_at_100(spark, root):
+    return rounded(ranking.full_recall_at(ranked(spark, root), 100))
+
+
+ANSWER_SQL = """(SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[!-/:-@\\[-`{-~]', '', 'g'),
+    '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM
+    (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lower(left(text, 60)) ELSE substr(text, 11, 60) END AS x FROM documents))"""
+GOLD_SQL = ANSWER_SQL.replace("CASE WHEN doc_id % 3 = 0 THEN lower(left(text, 60)) ELSE substr(text, 11, 60) END", "left(text, 60)")
+
+
+@query(
+    f"""
+WITH a AS (SELECT doc_id, t, list_filter(string_split(t, ' '), lambda w: w <> '') AS w FROM {ANSWER_SQL}),
+g AS (SELECT doc_id, t, list_filter(string_split(t, ' '), lambda w: w <> '') AS w FROM {GOLD_SQL}),
+ac AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM a) GROUP BY ALL),
+gc AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM g) GROUP BY ALL),
+s AS (SELECT doc_id, sum(least(ac.n, gc.n)) AS shared FROM ac JOIN gc USING (doc_id, word) GROUP BY doc_id)
+SELECT doc_id, (a.t = g.t)::int::double AS exact_match,
+  round(CASE WHEN len(a.w) + len(g.w) = 0 THEN 1e0 ELSE 2e0 * coalesce(shared, 0) / (len(a.w) + len(g.w)) END, 6)
+  AS token_f1 FROM a JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)"""
+)
+def answer_em_f1(spark, root):
+    """The first characters of each text as the right answer, a shifted or lower-cased copy as the given one."""
+    shifted = F.when(F.col("doc_id") % 3 == 0, F.lower(F.left("text", F.lit(60)))).otherwise(F.substring("text", 11, 60))
+    pairs = table(spark, root, "documents").select("doc_id", F.left("text", F.lit(60)).alias("gold"), shifted.alias("given"))
+    return rounded(
+        pairs.select(
+            "doc_id",
+            answers.exact_match(F.col("given"), F.col("gold")).alias("exact_match"),
+            answers.token_f1(F.col("given"), F.col("gold")).alias("token_f1"),
+        )
+    )
+
+
+@query(
+    f"""
+SELECT 'fusion' AS model, round(avg(((fusion > 0.5) = (label = 1))::int), 6) AS accuracy FROM {PREDICTIONS_SQL}
+UNION ALL SELECT 'kg', round(avg(((kg > 0.5) = (label = 1))::int), 6) FROM {PREDICTIONS_SQL}"""
+)
+def model_by_name(spark, root):
+    """Accuracy of the models named in a setting."""
+    scored = predictions(spark, root)
+    models = {m: F.col(m) for m in ("kg", "dense", "fusion")}
+    hits = [
+        F.avg((binary.decide(answers.model_score(models, m)) == F.col("label")).cast("double")).alias(m)
+        for m in ("fusion", "kg")
+    ]
+    wide = scored.agg(*hits)
+    return rounded(wide.unpivot([], ["fusion", "kg"], "model", "accuracy"))
+
+
+@query(
+    """
+SELECT doc_id, 'a ' || lang || '|' || source || '|' AS texts, true AS answered FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, '| ', false FROM documents WHERE doc_id % 2 = 1"""
+)
+def polymorphic_answers(spark, root):
+    """Raw answer lists of strings, objects with a text, other objects and nulls."""
+    some = F.concat(F.lit('["a '), "lang", F.lit('", {"text": "'), "source", F.lit('"}, {"other": 1}]'))
+    raw = F.when(F.col("doc_id") % 2 == 0, some).otherwise(F.lit('[null, " "]'))
+    rows = table(spark, root, "documents").select("doc_id", raw.alias("raw"))
+    texts = F.array_join(answers.answer_texts(F.col("raw")), "|")
+    return rows.select("doc_id", texts.alias("texts"), answers.has_answer(F.col("raw")).alias("answered"))

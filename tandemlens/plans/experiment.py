@@ -11,10 +11,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemlens.operators import complementarity, fusion
+from tandemlens.functions.vectors import as_double
+from tandemlens.operators import complementarity, fusion, graph
 from tandemlens.plans.catalog import query, rounded
-from tandemlens.plans.neural import HIDDEN, _pairs
+from tandemlens.plans.neural import HIDDEN
 from tandemlens.session import durable
+from tandemlens.sources.tables import table
 
 # The three model sizes.
 CONFIGS = {
@@ -86,13 +88,16 @@ def run(rows: DataFrame, kinds: list[str], hidden: int) -> DataFrame:
 @query()
 def complementarity_experiment(spark, root):
     """Is the vector's label even? Each hash half of the rows serves as training or test set."""
-    rows = _pairs(spark, root).select(
+    vectors = table(spark, root, "embeddings").select(
         F.col("vec_id").alias("example_id"),
         (F.xxhash64("vec_id") >= 0).alias("train"),
         (F.col("label") % 2).cast("double").alias("label"),
-        "kg",
-        "dense",
+        (F.col("vec_id") % 50).alias("node"),
+        as_double(F.col("embedding")).alias("dense"),
     )
+    # The graph side of a row is its node's neighbourhood: the mean of the training vectors there.
+    near = graph.mean_vectors(vectors.where("train"), "node", "dense", HIDDEN).withColumnRenamed("x", "kg")
+    rows = graph.attach_embeddings(vectors, near, "node").drop("node")
     kinds = list(fusion.KINDS)
     return rounded(complementarity.experiment_summary(run(rows, kinds, HIDDEN), kinds), 3)
 

@@ -10,6 +10,7 @@ from tandemlens.plans.catalog import query, rounded
 from tandemlens.plans.evaluation import FLAGS_SQL
 from tandemlens.plans.inputs import PREDICTIONS_SQL, predictions
 from tandemlens.plans.neural import PAIRS_SQL, _pairs
+from tandemlens.sources.tables import table
 
 
 @query(
@@ -128,3 +129,23 @@ def representation_similarity(spark, root):
             mean.alias("representation_similarity"), (1 - mean).alias("diversity_score")
         )
     )
+
+
+@query(
+    """
+WITH e AS (SELECT event_type, event_id, (event_id * 7919 % 10007 + 1) / 100080e0 AS p FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS i,
+    count(*) OVER (PARTITION BY event_type) AS m FROM e)
+SELECT event_type, event_id, round(p, 9) AS p, round(least(p * m, 1), 6) AS bonferroni,
+  round(least(max((m - i + 1) * p) OVER (PARTITION BY event_type ORDER BY i), 1), 6) AS holm,
+  round(least(min(p * m / i) OVER (PARTITION BY event_type ORDER BY i DESC), 1), 6)
+  AS benjamini_hochberg FROM r"""
+)
+def adjusted_p_values(spark, root):
+    """One made-up p-value per event, adjusted within its type."""
+    p = (F.col("event_id") * 7919 % 10007 + 1) / 100080.0
+    tests = table(spark, root, "events").select("event_type", "event_id", p.alias("p"))
+    found = significance.adjusted_p_values(tests, "p", "event_id", ["event_type"])
+    return rounded(found.withColumn("p", F.round("p", 9)), 9).withColumns(
+        {c: F.round(c, 6) for c in ("bonferroni", "holm", "benjamini_hochberg")}
+    )

@@ -21,11 +21,11 @@ BY_TIME_SQL = "PARTITION BY metric ORDER BY ts, event_id"
 
 @query(
     f"""
-SELECT metric, round(max_by(value, ts) + 0e0, 6) AS final, round(max(value), 6) AS best
+SELECT metric, round(max_by(value, {{'t': ts, 'e': event_id}}) + 0e0, 6) AS final, round(max(value), 6) AS best
 FROM {METRICS_SQL} GROUP BY metric"""
 )
 def best_final_metric(spark, root):
-    return rounded(tracking.final_and_best(metric_log(spark, root), F.col("ts")))
+    return rounded(tracking.final_and_best(metric_log(spark, root), F.struct("ts", "event_id")))
 
 
 @query(
@@ -141,11 +141,11 @@ def log_levels(spark, root):
 
 @query(
     f"""
-SELECT metric, format('{{}}: Final: {{:.4f}} Best: {{:.4f}}', metric, max_by(value, ts),
+SELECT metric, format('{{}}: Final: {{:.4f}} Best: {{:.4f}}', metric, max_by(value, {{'t': ts, 'e': event_id}}),
   max(value)) AS line FROM {METRICS_SQL} GROUP BY metric"""
 )
 def metric_report(spark, root):
-    return tracking.metric_report(metric_log(spark, root), F.col("ts"))
+    return tracking.metric_report(metric_log(spark, root), F.struct("ts", "event_id"))
 
 
 @query(

@@ -16,6 +16,7 @@ SPLIT_ROWS = 4_000_000
 BROADCAST_ROWS_CONF = "spark.tandemlens.broadcastRows"
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+_WRITTEN: list[str] = []
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g", app: str = "tandemlens") -> SparkSession:
@@ -55,9 +56,22 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that `durable` wrote in this process; to be called once their results are used.
+
+    Returns how many there were. Any file system that Spark can write to will do.
+    """
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Counted, not guessed: rows and bytes of the whole table are within the limits."""
     limit = int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))

@@ -130,3 +130,11 @@ def test_union_of_column_names(spark, tmp_path):
     spark.range(1).withColumn("z", F.lit(1)).write.parquet(f"{tmp_path}/b")
     got = {r.column: r.n_files for r in readers.column_union(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).collect()}
     assert got == {"id": 2, "z": 1}
+
+
+def test_durable_tables_can_be_released(spark):
+    from tandemlens.session import durable, release
+
+    release(spark)
+    assert durable(spark.range(3), "gone").count() == 3
+    assert release(spark) == 1 and release(spark) == 0
