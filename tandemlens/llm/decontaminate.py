@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +30,25 @@ EDITS = 0.2
 #: Items with fewer words cannot tell a passage from chance; they are not searched.
 MIN_WORDS = 5
 REPEATS = 4
-SAMPLED = 4
+SAMPLED = 5
 #: Words of the items that one scan over the documents searches for; more items take more scans.
 BLOCK_WORDS = 500_000
 BITMAP_BITS = 22
+#: Words of the texts that are embedded together.
+TOGETHER = 1 << 19
+WALKS = 1 << 13
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def symbols_of(chunk: str) -> tuple[int, ...]:
-    """Hashes of the lower-cased words of a chunk (punctuation apart)."""
-    return tuple(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(chunk.lower()))
+def symbols_of(chunk: str) -> bytes:
+    """64-bit hashes of the lower-cased words of a chunk (punctuation apart), one after another."""
+    chunk = chunk.lower()
+    bare = chunk.rstrip(".,;:!?")
+    words = (bare,) if bare.isalnum() else _WORD.findall(chunk)
+    return b"".join([xxhash.xxh64_digest(w.encode("utf-8", "surrogatepass")) for w in words])
 
 
 @lru_cache(maxsize=1)
@@ -54,8 +59,7 @@ def chunk_symbols() -> Chunks:
 
 def words_of(text: str, chunks: Chunks) -> np.ndarray:
     chunks.trim()
-    found = chain.from_iterable(map(chunks.__getitem__, text.split()))
-    return np.fromiter(found, np.uint64)
+    return np.frombuffer(b"".join(map(chunks.__getitem__, text.split())), np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,14 +85,22 @@ class Embedding:
     def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Hash of the sampled positions for the window at each start; zeros stand after the end."""
         padded = np.concatenate([words, np.zeros(self.steps + 1, np.uint64)])
-        at, key = starts.copy(), np.zeros(len(starts), np.uint64)
-        for step in range(self.steps):
-            if step % 64 == 0:
-                bits = mixed(padded ^ self.salts[step // 64 % len(self.salts)] + np.uint64(step // 256))
-            if step in self.sampled:
-                key = mixed((key ^ padded[at]) * _ODD)
-            at += (bits[at] >> np.uint64(step % 64) & np.uint64(1)).astype(np.int64)
-        return key
+        bits = [
+            mixed(padded ^ self.salts[k % len(self.salts)] + np.uint64(k // len(self.salts)))
+            for k in range(-(-self.steps // 64))
+        ]
+        keys = np.zeros(len(starts), np.uint64)
+        for i in range(0, len(starts), WALKS):  # so many walks stay in a processor's cache
+            at, key = starts[i : i + WALKS].astype(np.int64), keys[i : i + WALKS]
+            move = np.empty(len(at), np.uint64)
+            for step in range(self.steps):
+                if step in self.sampled:
+                    key[:] = mixed((key ^ padded[at]) * _ODD)
+                np.take(bits[step // 64], at, out=move)
+                move >>= np.uint64(step % 64)
+                move &= np.uint64(1)
+                at += move.view(np.int64)
+        return keys
 
 
 class Items:
@@ -121,39 +133,50 @@ class Items:
         self.patterns = [pattern(w) for w in self.words]
         self.bitmaps: dict = {}
 
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, word where it would begin) for windows that share a hash with an item's window."""
-        out = set()
+        found_items, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for kind, (keys, items, offsets, bits) in self.tables.items():
-            size = kind[0]
             if kind not in self.bitmaps:
                 self.bitmaps[kind] = np.unpackbits(bits).view(bool)
-            starts = np.arange(0, len(words), max(1, size // 4))
+            starts = np.arange(0, len(words), max(1, kind[0] // 4))
             found = self.embeddings[kind].keys(words, starts)
             hits = np.flatnonzero(self.bitmaps[kind][found >> np.uint64(64 - BITMAP_BITS)])
-            if not len(hits):
-                continue
             first = np.searchsorted(keys, found[hits], "left")
-            last = np.searchsorted(keys, found[hits], "right")
-            for hit, a, b in zip(starts[hits].tolist(), first.tolist(), last.tolist()):
-                for k in range(a, b):
-                    out.add((int(items[k]), hit - int(offsets[k])))
-        return out
-
-    def matches(self, words: np.ndarray) -> dict[int, int]:
-        """Least edit distance by item, for items that are within their share of edits."""
-        best: dict[int, int] = {}
-        tried: dict[int, list[int]] = {}
-        for item, begin in sorted(self.candidates(words)):
-            n = len(self.words[item])
-            most, slack = int(EDITS * n), int(EDITS * n) + 2
-            if best.get(item) == 0 or (tried.get(item) and begin - tried[item][-1] <= slack // 2):
+            count = np.searchsorted(keys, found[hits], "right") - first
+            row = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found_items.append(items[row])
+            begins.append(np.repeat(starts[hits], count) - offsets[row])
+        return np.concatenate(found_items), np.concatenate(begins)
+
+    def matches(self, texts: list[np.ndarray]) -> dict[tuple[int, int], int]:
+        """Least edit distance by (text, item), for items that are within their share of edits."""
+        ends = np.cumsum([len(t) + 1 for t in texts])  # a word that stands nowhere lies between texts
+        first = ends - [len(t) + 1 for t in texts]
+        words = np.concatenate([np.append(t, np.uint64(0)) for t in texts])
+        item, begin = self.candidates(words)
+        lengths = np.array([len(w) for w in self.words])
+        middle = np.clip(begin + lengths[item] // 2, 0, len(words) - 1)
+        # an item may begin before or end after its text; the window that found it lies in the text of its middle
+        text = np.searchsorted(ends, middle, "right")
+        best: dict[tuple[int, int], int] = {}
+        last: tuple[int, int, int] | None = None
+        for k in np.lexsort((begin, item, text)).tolist():
+            t, i, at = int(text[k]), int(item[k]), int(begin[k])
+            n = len(self.words[i])
+            most = int(EDITS * n)
+            slack = most + 2
+            if last and last[:2] == (t, i) and at - last[2] <= slack // 2 or best.get((t, i)) == 0:
                 continue  # that stretch has been looked at
-            tried.setdefault(item, []).append(begin)
-            part = words[max(0, begin - 2 * slack) : max(0, begin + n + 2 * slack)].tolist()
-            distance = edit_distance(self.patterns[item], n, part)
+            last = t, i, at
+            low, high = max(first[t], at - 2 * slack), min(ends[t] - 1, at + n + 2 * slack)
+            part = words[low:high].tolist()
+            places = self.patterns[i]
+            if len(places) - len(places.keys() & set(part)) > most:  # each of these words needs an edit
+                continue
+            distance = edit_distance(places, n, part)
             if distance <= most:
-                best[item] = min(distance, best.get(item, distance))
+                best[t, i] = min(distance, best.get((t, i), distance))
         return best
 
     def __getstate__(self):
@@ -219,14 +242,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items, chunks = held.value, chunk_symbols()
             for batch in batches:
                 at, ids, distances = [], [], []
+
+                def flush(rows: list[int], texts: list[np.ndarray]) -> None:
+                    for (t, item), distance in items.matches(texts).items() if texts and items.words else ():
+                        at.append(rows[t])
+                        ids.append(items.ids[item])
+                        distances.append(distance)
+
+                rows, texts, size = [], [], 0
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     words = words_of(text or "", chunks)
                     if len(words) < MIN_WORDS - 1:
                         continue
-                    for item, distance in items.matches(words).items():
-                        at.append(i)
-                        ids.append(items.ids[item])
-                        distances.append(distance)
+                    rows.append(i)
+                    texts.append(words)
+                    size += len(words)
+                    if size >= TOGETHER:
+                        flush(rows, texts)
+                        rows, texts, size = [], [], 0
+                flush(rows, texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at, pa.int64())),
