@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemlens.functions.vectors import ratio
 from tandemlens.operators.ordered import running_totals
+from tandemlens.session import durable
 
 THRESHOLD = 0.5
 
@@ -51,6 +52,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     per_score = df.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
+    per_score = durable(per_score, "per-score")  # counted first, then ranked
     ranked = running_totals(per_score, by, [F.col(score)], sums={"neg_upto": F.col("neg")})
     below = F.col("neg_upto") - F.col("neg") / 2
     sums = ranked.groupBy(*by).agg(

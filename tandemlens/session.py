@@ -73,17 +73,29 @@ def release(spark: SparkSession) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """Counted, not guessed: rows and bytes of the whole table are within the limits."""
+    """Rows and bytes of the whole table are within the limits: counted, not guessed.
+
+    A table that Spark estimates at many times the limit is not looked at, and of a longer one no
+    more than one row over the limit is counted.
+    """
     limit = int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) in range(
+        64 * BROADCAST_BYTES, 1 << 60
+    ):
+        return False
     width = F.lit(0).cast("long")
     for field in df.schema.fields:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
             width += F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
             width += F.coalesce(F.size(field.name), F.lit(0)) * 16 + 16
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            width += F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0)) + 16
         else:
             width += 8
-    size = df.agg(F.count("*").alias("rows"), F.sum(width).alias("bytes")).first()
+    widths = df.select(width.alias("width")).limit(limit + 1)
+    size = widths.agg(F.count("*").alias("rows"), F.sum("width").alias("bytes")).first()
     return size["rows"] <= limit and (size["bytes"] or 0) <= BROADCAST_BYTES
 
 
