@@ -125,6 +125,17 @@ def metric_report(log: DataFrame, order: Column) -> DataFrame:
     )
 
 
+def evaluation_report(metrics: DataFrame, group: str) -> DataFrame:
+    """(group, place, line): a heading for each group, then one line for each of its metrics."""
+    names = [c for c in metrics.columns if c != group]
+    heading = F.struct(F.lit(0).alias("place"), F.format_string("== %s ==", group).alias("line"))
+    lines = [
+        F.struct(F.lit(i).alias("place"), F.format_string(f"{name}: %.4f", F.col(name)).alias("line"))
+        for i, name in enumerate(names, 1)
+    ]
+    return metrics.select(group, F.inline(F.array(heading, *lines)))
+
+
 def log_predictions(df: DataFrame, task: str, step: str) -> DataFrame:
     """Tidy metric rows (metric, step, value) of the complementarity block per task and step."""
     block = complementarity(df, [task, step])

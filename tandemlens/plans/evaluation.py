@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandemlens.functions.vectors import sigmoid
-from tandemlens.operators import answers, binary, complementarity, ranking
+from tandemlens.operators import answers, binary, complementarity, ranking, tracking
 from tandemlens.operators.ordered import running_totals
 from tandemlens.plans.catalog import query, rnd, rounded
 from tandemlens.plans.inputs import (
@@ -336,3 +336,17 @@ def polymorphic_answers(spark, root):
     rows = table(spark, root, "documents").select("doc_id", raw.alias("raw"))
     texts = F.array_join(answers.answer_texts(F.col("raw")), "|")
     return rows.select("doc_id", texts.alias("texts"), answers.has_answer(F.col("raw")).alias("answered"))
+
+
+@query(
+    f"""
+WITH m AS ({BINARY_SQL})
+SELECT model, 0::bigint AS place, '== ' || model || ' ==' AS line FROM m
+UNION ALL SELECT model, 1, format('accuracy: {{:.4f}}', accuracy) FROM m
+UNION ALL SELECT model, 2, format('precision: {{:.4f}}', precision) FROM m
+UNION ALL SELECT model, 3, format('recall: {{:.4f}}', recall) FROM m
+UNION ALL SELECT model, 4, format('f1: {{:.4f}}', f1) FROM m"""
+)
+def evaluation_report(spark, root):
+    scored = long_predictions(spark, root)
+    return tracking.evaluation_report(rounded(binary.binary_metrics(scored, "score", "label", ["model"])), "model")

@@ -15,46 +15,53 @@ from tandemlens.sources.tables import table
 
 @query(
     """
-SELECT source, count(*) AS rows, count(*) FILTER (contains(text, chr(0))) AS corrupt,
-  count(*) FILTER (NOT contains(text, chr(0))) AS kept FROM documents GROUP BY source"""
+SELECT source, count(*) AS rows, count(*) FILTER (doc_id % 7 = 0) AS corrupt,
+  count(*) FILTER (doc_id % 7 <> 0) AS kept FROM documents GROUP BY source"""
 )
 def null_byte_filter(spark, root):
-    docs = table(spark, root, "documents")
-    bad = has_null_byte(docs)
-    return docs.groupBy("source").agg(
-        F.count("*").alias("rows"), F.count_if(bad).alias("corrupt"), F.count_if(~bad).alias("kept")
-    )
+    """Every seventh document with a NUL byte: how many are found, and how many are left."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\0x"))).otherwise(F.col("text"))
+    docs = table(spark, root, "documents").withColumn("text", text)
+    all_of = docs.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(has_null_byte(docs)).alias("corrupt"))
+    kept = validate.drop_corrupt(docs).groupBy("source").agg(F.count("*").alias("kept"))
+    return all_of.join(kept, "source", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
 
 
 @query(
     """
 SELECT origin, is_html, count(*) AS rows FROM (
   SELECT origin, contains(h, '<html') OR contains(h, '<!doctype') AS is_html FROM (
-    SELECT 'pages' AS origin, lower(substr(html, 1, 100)) AS h FROM pages
-    UNION ALL SELECT 'documents', lower(substr(text, 1, 100)) FROM documents)) GROUP BY ALL"""
+    SELECT 'pages' AS origin, lower(substr(CASE WHEN page_id % 3 = 0 THEN substr(html, 101) ELSE html END, 1, 100)) AS h
+    FROM pages
+    UNION ALL SELECT 'documents', lower(substr(CASE WHEN doc_id % 5 = 0 THEN '<!DOCTYPE x>' || text ELSE text END, 1, 100))
+    FROM documents)) GROUP BY ALL"""
 )
 def html_sniff(spark, root):
-    pages = table(spark, root, "pages").select(F.lit("pages").alias("origin"), F.col("html").alias("body"))
-    docs = table(spark, root, "documents").select(
-        F.lit("documents").alias("origin"), F.col("text").alias("body")
-    )
+    """Every third page without its head, every fifth document with a document type."""
+    headless = F.when(F.col("page_id") % 3 == 0, F.substr("html", F.lit(101))).otherwise(F.col("html"))
+    marked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<!DOCTYPE x>"), "text")).otherwise(F.col("text"))
+    pages = table(spark, root, "pages").select(F.lit("pages").alias("origin"), headless.alias("body"))
+    docs = table(spark, root, "documents").select(F.lit("documents").alias("origin"), marked.alias("body"))
     sniffed = pages.unionByName(docs).select("origin", looks_like_html(F.col("body")).alias("is_html"))
     return sniffed.groupBy("origin", "is_html").agg(F.count("*").alias("rows"))
 
 
-# Which table stands for which dataset: (name, task, table, how it is filled, size column).
+# Which rows stand for which dataset: (name, task, table, how it is filled, size column, condition).
+# Two of them have no rows, so that sets that are being filled and failed ones occur.
 STAND_INS = (
-    ("beir_ir", "ir", "documents", "files", "text"),
-    ("ms_marco_qa", "qa", "conversations", "files", "text"),
-    ("natural_questions_qa", "qa", "benchmark", "batches", "text"),
-    ("wikidata5m_kg", "kg", "orders", "files", "o_orderpriority"),
+    ("beir_ir", "ir", "documents", "files", "text", "true"),
+    ("ms_marco_qa", "qa", "conversations", "files", "text", "turn < 2"),
+    ("natural_questions_qa", "qa", "benchmark", "batches", "text", "true"),
+    ("wikidata5m_kg", "kg", "orders", "files", "o_orderpriority", "true"),
+    ("freebase_kg", "kg", "region", "batches", "r_name", "r_name = 'none'"),
+    ("squad_qa", "qa", "nation", "files", "n_name", "n_name = 'none'"),
 )
 DATASETS_SQL = (
     "("
     + " UNION ALL ".join(
         f"SELECT '{name}' AS name, '{task}' AS task, '{kind}' AS kind, count(*) AS examples, "
-        f"sum(strlen({col})) / 1048576e0 AS size_mb FROM {source}"
-        for name, task, source, kind, col in STAND_INS
+        f"sum(strlen({col})) / 1048576e0 AS size_mb FROM {source} WHERE {rows}"
+        for name, task, source, kind, col, rows in STAND_INS
     )
     + ")"
 )
@@ -63,8 +70,8 @@ DATASETS_SQL = (
 def _datasets(spark, root):
     """One row per dataset: examples and size, counted from the table that stands for it."""
 
-    def counted(name, task, source, kind, col):
-        return table(spark, root, source).agg(
+    def counted(name, task, source, kind, col, rows):
+        return table(spark, root, source).where(rows).agg(
             F.lit(name).alias("name"),
             F.lit(task).alias("task"),
             F.lit(kind).alias("kind"),
@@ -90,16 +97,31 @@ def dataset_status(spark, root):
     return rounded(_datasets(spark, root).select("name", "examples", "size_mb", state.alias("status")))
 
 
-@query(
-    f"""
-SELECT count(*) AS total_datasets, count(*) FILTER (examples > 0) AS valid_datasets,
-  cast(sum(examples) AS bigint) AS total_examples, 0::bigint AS missing,
-  true AS ready_for_training FROM {DATASETS_SQL}"""
-)
+def _readiness_sql(names) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""
+SELECT {len(names)}::bigint AS required, count(*) AS total_datasets,
+  count(*) FILTER (examples > 0) AS valid_datasets, cast(sum(examples) AS bigint) AS total_examples,
+  (SELECT count(*) FROM (SELECT unnest([{listed}]) AS name) WHERE name NOT IN
+    (SELECT name FROM {DATASETS_SQL} WHERE examples > 0)) AS missing,
+  (SELECT count(*) FROM (SELECT unnest([{listed}]) AS name) WHERE name NOT IN
+    (SELECT name FROM {DATASETS_SQL} WHERE examples > 0)) = 0 AS ready_for_training
+FROM {DATASETS_SQL}"""
+
+
+MORE = (*validate.REQUIRED, "freebase_kg", "squad_qa")
+
+
+@query(f"{_readiness_sql(validate.REQUIRED)} UNION ALL {_readiness_sql(MORE)}")
 def readiness(spark, root):
+    """With the usual required sets, and with two more that have no rows."""
     state = validate.status(F.lit(True), F.col("examples"), F.col("kind"))
     datasets = _datasets(spark, root).withColumn("status", state)
-    return validate.validation_summary(datasets, _names(spark, validate.REQUIRED))
+    rows = [
+        validate.validation_summary(datasets, _names(spark, names)).withColumn("required", F.lit(len(names)))
+        for names in (validate.REQUIRED, MORE)
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query(
@@ -142,24 +164,39 @@ def columns_found(spark, root):
 
 @query(
     f"""
-SELECT count(*) AS total_datasets, count(*) AS successful_datasets,
+WITH r AS (SELECT count(*) AS total_datasets, count(*) FILTER (examples > 0) AS successful_datasets,
   cast(sum(examples) AS bigint) AS total_examples, round(sum(size_mb), 6) AS total_size_mb,
-  true AS kg_ready, true AS qa_ready, true AS ir_ready, true AS overall_ready
-FROM {DATASETS_SQL}"""
+  bool_and(examples > 0) FILTER (task = 'kg') AS kg_ready, bool_and(examples > 0) FILTER (task = 'qa') AS qa_ready,
+  bool_and(examples > 0) FILTER (task = 'ir') AS ir_ready FROM {DATASETS_SQL})
+SELECT *, kg_ready AND qa_ready AND ir_ready AS overall_ready FROM r"""
 )
 def status_rollup(spark, root):
     done = F.when(F.col("examples") > 0, "completed").otherwise("failed")
     return rounded(validate.status_rollup(_datasets(spark, root).withColumn("status", done)))
 
 
-@query(
+SCENARIOS = {"all": "true", "without_ir": "task <> 'ir'", "graphs": "task = 'kg'"}
+_SCENARIO_SQL = " UNION ALL ".join(
     f"""
-SELECT count(*) FILTER (task = 'qa') AS qa_datasets, count(*) FILTER (task = 'ir') AS ir_datasets,
+SELECT '{name}' AS scenario, count(*) FILTER (task = 'qa') AS qa_datasets, count(*) FILTER (task = 'ir') AS ir_datasets,
   count(*) FILTER (task = 'kg') AS kg_datasets, cast(sum(examples) AS bigint) AS total_examples,
-  true AS ready_for_research, '' AS missing_components FROM {DATASETS_SQL}"""
+  bool_or(task = 'qa') AND bool_or(task = 'ir') AS ready_for_research,
+  array_to_string(list_filter([CASE WHEN NOT bool_or(task = 'qa') THEN 'QA datasets' END,
+    CASE WHEN NOT bool_or(task = 'ir') THEN 'IR datasets' END], lambda x: x IS NOT NULL), ', ') AS missing_components
+FROM {DATASETS_SQL} WHERE {rows}"""
+    for name, rows in SCENARIOS.items()
 )
+
+
+@query(_SCENARIO_SQL)
 def research_readiness(spark, root):
-    return validate.research_readiness(_datasets(spark, root))
+    """With all sets, without retrieval sets, and with graphs alone."""
+    datasets = _datasets(spark, root)
+    parts = [
+        validate.research_readiness(datasets.where(rows)).withColumn("scenario", F.lit(name))
+        for name, rows in SCENARIOS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -198,18 +235,20 @@ def progress_bands(spark, root):
 
 @query(
     """
-SELECT count(*) FILTER (trim(text) <> '') AS text_ok, count(*) FILTER (len(w) > 0) AS words_ok,
-  count(*) FILTER (n_chars IS NOT NULL) AS size_ok, count(*) FILTER (NOT isnan(r)) AS ratio_ok
-FROM (SELECT text, n_chars, n_chars / 2e0 AS r,
-        list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)"""
+SELECT count(*) FILTER (doc_id % 4 <> 0 AND trim(text) <> '') AS text_ok,
+  count(*) FILTER (doc_id % 5 <> 0 AND len(w) > 0) AS words_ok,
+  count(*) FILTER (doc_id % 6 <> 0 AND n_chars IS NOT NULL) AS size_ok,
+  count(*) FILTER (doc_id % 9 <> 0 AND n_chars IS NOT NULL) AS ratio_ok
+FROM (SELECT doc_id, text, n_chars, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)"""
 )
 def non_empty_values(spark, root):
-    """The non-empty test on a string, a list, a number and a float column."""
+    """The non-empty test on a string, a list, a number and a float column, each partly emptied."""
+    n = F.col("doc_id")
     docs = table(spark, root, "documents").select(
-        "text",
-        F.filter(F.split("text", " "), lambda x: x != "").alias("tokens"),
-        "n_chars",
-        (F.col("n_chars") / 2.0).alias("ratio"),
+        F.when(n % 4 == 0, " ").otherwise(F.col("text")).alias("text"),
+        F.filter(F.split(F.when(n % 5 == 0, "").otherwise(F.col("text")), " "), lambda x: x != "").alias("tokens"),
+        F.when(n % 6 != 0, F.col("n_chars")).alias("n_chars"),
+        F.when(n % 9 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") / 2.0).alias("ratio"),
     )
     names = {"text": "text_ok", "tokens": "words_ok", "n_chars": "size_ok", "ratio": "ratio_ok"}
     checks = [F.count_if(validate.non_empty_value(docs, c)).alias(n) for c, n in names.items()]
