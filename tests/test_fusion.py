@@ -70,7 +70,7 @@ def test_stream_over_several_files_equals_the_batch(spark, tmp_path):
         ((F.col("id") * 7 % 100) / 100.0).alias("s"),
         (F.col("id") % 2).cast("int").alias("y"),
     )
-    df.repartition(5).write.parquet(str(tmp_path / "in"))
+    df.repartition(5).write.parquet(str(tmp_path / "in" / "part.parquet"))
     stream = evaluators.table_stream(spark, str(tmp_path / "in"), "part", schema, files_per_trigger=1)
     got = evaluators.binary_metrics_stream(stream, F.col("s"), F.col("y"), ["g"]).collect()
     from tandemlens.operators.binary import binary_metrics
