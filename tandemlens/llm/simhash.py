@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tandemlens.llm.common import packed, unpacked
 from tandemlens.llm.graph import components
+from tandemlens.llm.minhash import similar_documents
 from tandemlens.llm.registry import query
 from tandemlens.session import durable
 from tandemlens.sources.tables import table
@@ -101,12 +102,15 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which each is the first of its component; rows without an id stay.
 
+    Components link texts whose five-word shingles have a Jaccard similarity of 0.8 or more (see
+    `minhash`), not op7's fingerprints: at that similarity these differ in up to 11 bits (sf0.1), and
+    an index for so many bits has only segments of 12 or 13 bits for keys, which everything shares.
     Of rows that repeat that id one stays, whichever.
     """
-    found = durable(near_duplicates(docs, max_bits), "near_duplicates")
+    found = durable(similar_documents(docs), "near_duplicates")
     copies = found.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("copy")).distinct()
     kept = packed(docs, doc_id=F.col("doc_id")).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
     again = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
