@@ -1,11 +1,10 @@
 """Benchmark decontamination: documents that contain a benchmark item within a few word edits.
 
-The CGK random walk embeds a string of words so that few edits become few differing positions: it
-copies the word it stands on and steps on or not by a random bit of (word, step). Windows of the
-documents, as long as the items (in classes of powers of two), are embedded from every few words, those of
-the items from every word, and a few sampled positions of the embedding are hashed, repeatedly with
-new walks. Windows with a hash in common are verified by the exact edit distance of the item to
-the words around them.
+An item of n words within e edits is cut into e + 1 pieces of almost equal length. An edit touches
+one piece at most, so one of the pieces stands in the document unchanged: every contained item is
+found, however long. The pieces have two to five words; documents are searched for them by
+hashes from every word, and what shares a piece is verified by the exact edit distance of the
+item to the words around it.
 """
 
 from __future__ import annotations
@@ -29,14 +28,13 @@ from tandemlens.sources.tables import table
 EDITS = 0.2
 #: Items with fewer words cannot tell a passage from chance; they are not searched.
 MIN_WORDS = 5
-REPEATS = 4
-SAMPLED = 5
 #: Words of the items that one scan over the documents searches for; more items take more scans.
 BLOCK_WORDS = 500_000
 BITMAP_BITS = 22
 #: Words of the texts that are embedded together.
 TOGETHER = 1 << 19
-WALKS = 1 << 13
+#: Candidates that are held together.
+CANDIDATES = 1 << 20
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -67,40 +65,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def size_class(n: int) -> int:
-    """Words of the windows for an item of n words: a power of two, a third to two thirds of them."""
-    return 1 << max(0, (2 * n // 3).bit_length() - 1)
-
-
-class Embedding:
-    """One walk for windows of `size` words, and the positions of it that are sampled."""
-
-    def __init__(self, size: int, repeat: int):
-        rng = np.random.default_rng([size, repeat, 20])
-        self.salts = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-        steps = max(SAMPLED, size + size // 2)
-        self.sampled = set(np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)).tolist())
-        self.steps = max(self.sampled) + 1
-
-    def keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Hash of the sampled positions for the window at each start; zeros stand after the end."""
-        padded = np.concatenate([words, np.zeros(self.steps + 1, np.uint64)])
-        bits = [
-            mixed(padded ^ self.salts[k % len(self.salts)] + np.uint64(k // len(self.salts)))
-            for k in range(-(-self.steps // 64))
-        ]
-        keys = np.zeros(len(starts), np.uint64)
-        for i in range(0, len(starts), WALKS):  # so many walks stay in a processor's cache
-            at, key = starts[i : i + WALKS].astype(np.int64), keys[i : i + WALKS]
-            move = np.empty(len(at), np.uint64)
-            for step in range(self.steps):
-                if step in self.sampled:
-                    key[:] = mixed((key ^ padded[at]) * _ODD)
-                np.take(bits[step // 64], at, out=move)
-                move >>= np.uint64(step % 64)
-                move &= np.uint64(1)
-                at += move.view(np.int64)
-        return keys
+def most_edits(n: int) -> int:
+    """Edits within which an item of n words is contained."""
+    return int(EDITS * n)
+
+
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(first word, words) of the pieces of an item of n words: one more than its edits."""
+    cuts = [k * n // (most_edits(n) + 1) for k in range(most_edits(n) + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def run_keys(words: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, keys) for each of the sizes, in order: a hash of so many words from every word."""
+    keys = np.zeros(len(words), np.uint64)
+    for size in range(1, max(sizes, default=0) + 1):
+        if size > len(words):
+            return
+        keys = mixed((keys[: len(words) - size + 1] ^ words[size - 1 :]) * _ODD)
+        if size in sizes:
+            yield size, keys
 
 
 class Items:
@@ -114,57 +98,69 @@ class Items:
             if len(words) >= MIN_WORDS:
                 self.ids.append(item_id)
                 self.words.append(words)
-        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for i, words in enumerate(self.words):
-            size = size_class(len(words))
-            starts = np.arange(len(words) - size + 1)
-            for repeat in range(REPEATS):
-                keys = Embedding(size, repeat).keys(words, starts)
-                rows_ = np.stack([keys, np.full(len(keys), i, np.uint64), starts.astype(np.uint64)])
-                found.setdefault((size, repeat), []).append(rows_)
+            cut = pieces(len(words))
+            keys = dict(run_keys(words, sorted({size for _, size in cut})))
+            for start, size in cut:
+                found.setdefault(size, []).append((int(keys[size][start]), i, start))
         self.tables = {}
-        for kind, parts in found.items():
-            joined = np.concatenate(parts, axis=1)
-            joined = joined[:, np.argsort(joined[0], kind="stable")]
+        for size, rows_ in found.items():
+            keys = np.array([r[0] for r in rows_], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            items, starts = (np.array([r[k] for r in rows_], np.int64)[order] for k in (1, 2))
             bitmap = np.zeros(1 << BITMAP_BITS, bool)
-            bitmap[joined[0] >> np.uint64(64 - BITMAP_BITS)] = True
-            self.tables[kind] = (joined[0], joined[1].astype(np.int64), joined[2].astype(np.int64), np.packbits(bitmap))
-        self.embeddings = {kind: Embedding(*kind) for kind in self.tables}
+            bitmap[keys >> np.uint64(64 - BITMAP_BITS)] = True
+            self.tables[size] = (keys[order], items, starts, np.packbits(bitmap))
         self.patterns = [pattern(w) for w in self.words]
         self.bitmaps: dict = {}
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, word where it would begin) for windows that share a hash with an item's window."""
-        found_items, begins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for kind, (keys, items, offsets, bits) in self.tables.items():
-            if kind not in self.bitmaps:
-                self.bitmaps[kind] = np.unpackbits(bits).view(bool)
-            starts = np.arange(0, len(words), max(1, kind[0] // 4))
-            found = self.embeddings[kind].keys(words, starts)
-            hits = np.flatnonzero(self.bitmaps[kind][found >> np.uint64(64 - BITMAP_BITS)])
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, word where it would begin, word where its piece stands), some at a time."""
+        for size, found in run_keys(words, sorted(self.tables)):
+            keys, items, offsets, bits = self.tables[size]
+            if size not in self.bitmaps:
+                self.bitmaps[size] = np.unpackbits(bits).view(bool)
+            hits = np.flatnonzero(self.bitmaps[size][found >> np.uint64(64 - BITMAP_BITS)])
             first = np.searchsorted(keys, found[hits], "left")
             count = np.searchsorted(keys, found[hits], "right") - first
-            row = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found_items.append(items[row])
-            begins.append(np.repeat(starts[hits], count) - offsets[row])
-        return np.concatenate(found_items), np.concatenate(begins)
+            hits, first, count = hits[count > 0], first[count > 0], count[count > 0]
+            ends, low = np.cumsum(count), 0
+            while low < len(hits):
+                before = ends[low] - count[low]
+                high = max(low + 1, int(np.searchsorted(ends, before + CANDIDATES, "right")))
+                n = count[low:high]
+                row = np.repeat(first[low:high], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(hits[low:high], n)
+                yield items[row], at - offsets[row], at
+                low = high
 
     def matches(self, texts: list[np.ndarray]) -> dict[tuple[int, int], int]:
         """Least edit distance by (text, item), for items that are within their share of edits."""
         ends = np.cumsum([len(t) + 1 for t in texts])  # a word that stands nowhere lies between texts
         first = ends - [len(t) + 1 for t in texts]
         words = np.concatenate([np.append(t, np.uint64(0)) for t in texts])
-        item, begin = self.candidates(words)
-        lengths = np.array([len(w) for w in self.words])
-        middle = np.clip(begin + lengths[item] // 2, 0, len(words) - 1)
-        # an item may begin before or end after its text; the window that found it lies in the text of its middle
-        text = np.searchsorted(ends, middle, "right")
         best: dict[tuple[int, int], int] = {}
+        for item, begin, at in self.candidates(words):
+            self.verify(words, first, ends, item, begin, np.searchsorted(ends, at, "right"), best)
+        return best
+
+    def verify(
+        self,
+        words: np.ndarray,
+        first: np.ndarray,
+        ends: np.ndarray,
+        item: np.ndarray,
+        begin: np.ndarray,
+        text: np.ndarray,
+        best: dict[tuple[int, int], int],
+    ) -> None:
+        """Enter into `best` the distances of the candidates (text, item, begin) that are matches."""
         last: tuple[int, int, int] | None = None
         for k in np.lexsort((begin, item, text)).tolist():
             t, i, at = int(text[k]), int(item[k]), int(begin[k])
             n = len(self.words[i])
-            most = int(EDITS * n)
+            most = most_edits(n)
             slack = most + 2
             if last and last[:2] == (t, i) and at - last[2] <= slack // 2 or best.get((t, i)) == 0:
                 continue  # that stretch has been looked at
@@ -177,7 +173,6 @@ class Items:
             distance = edit_distance(places, n, part)
             if distance <= most:
                 best[t, i] = min(distance, best.get((t, i), distance))
-        return best
 
     def __getstate__(self):
         return self.__dict__ | {"bitmaps": {}}
