@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = (
+    "bpe",
     "chat",
     "decontaminate",
     "language",
