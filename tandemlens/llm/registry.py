@@ -16,6 +16,7 @@ MODULES = (
     "language",
     "licenses",
     "lines",
+    "negatives",
     "packing",
     "quality",
     "simhash",
