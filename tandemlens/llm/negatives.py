@@ -335,9 +335,10 @@ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_in
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
-SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id
+  ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM s JOIN p USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
-QUALIFY rank <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)"""
+QUALIFY rank <= 3"""
 )
 def op13_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))

@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "bpe",
     "chat",
+    "collocations",
     "decontaminate",
     "language",
     "licenses",
