@@ -38,7 +38,7 @@ def spark_kind(t: str) -> str:
 
 def duck_kind(t: str) -> str:
     t = str(t)
-    known = {"BIGINT": "int", "DOUBLE": "float", "VARCHAR": "str", "BOOLEAN": "bool"}
+    known = {"BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "str", "BOOLEAN": "bool"}
     return known.get(t, t)
 
 
