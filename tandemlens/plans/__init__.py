@@ -17,6 +17,7 @@ FAMILIES = (
     "limits",
     "files",
     "neural",
+    "retrieval",
     "statistics",
     "experiment",
     "streams",
