@@ -17,6 +17,7 @@ FAMILIES = (
     "limits",
     "files",
     "neural",
+    "representation",
     "retrieval",
     "statistics",
     "experiment",
