@@ -33,12 +33,12 @@ LEAST = 30
 FACTOR = 2_000_000
 TOP = 2_000
 #: Bytes of text that share a word list.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Words of a list, or tokens, in one row (a piece is not cut, however long).
-ROW_WORDS, ROW_TOKENS = 50_000, 1 << 18
+ROW_WORDS, ROW_TOKENS = 20_000, 1 << 16
 #: N-grams that a task counts before it passes its filter on, and that a merged range has at most, about.
-HELD = 3_000_000
-RANGE = 2_000_000
+HELD = 1_000_000
+RANGE = 1_000_000
 #: Least bits of a quotient, where keys have as many.
 QUOTIENT = 16
 #: Bits that index the bitmap of frequent phrases (2^26 bits are 8 MB).
@@ -145,27 +145,37 @@ def vocabulary(lists: DataFrame, least: int) -> DataFrame:
 
 
 def numbered(lists: DataFrame, words: DataFrame) -> DataFrame:
-    """(tokens): the texts as ids of `words`, all others being breaks (0)."""
+    """(tokens): the texts as ids of `words`, all others being breaks (0).
+
+    A batch's known words and its texts are dealt to one task, words first, and read as a stream.
+    """
     own = lists.filter("words IS NOT NULL").select("batch", "lang", "first", F.posexplode("words").alias("at", "word"))
     own = own.select("batch", "lang", "word", (F.col("first") + F.col("at")).alias("number"))
-    known = own.join(words.select("lang", "word", "id"), ["lang", "word"])
-    of_batch = known.groupBy("batch").agg(F.collect_list(F.struct("number", "id")).alias("known"))
+    known = own.join(words.select("lang", "word", "id"), ["lang", "word"]).select("batch", "number", "id")
     texts = lists.filter("tokens IS NOT NULL").select("batch", "tokens")
+    both = known.unionByName(texts, allowMissingColumns=True).repartition("batch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                tokens = batch.column(0).slice(i, 1).flatten().to_numpy()
-                known = batch.column(1).slice(i, 1).flatten()
-                id_of = np.zeros(tokens.max(initial=0) + 1, np.int32)
-                number = known.field("number").to_numpy()
-                here = number < len(id_of)
-                id_of[number[here]] = known.field("id").to_numpy()[here]
-                ids = joined_runs(id_of[tokens])
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32()))], ["tokens"])
-
-    both = texts.join(of_batch, "batch").select("tokens", "known")
-    return durable(both.mapInArrow(run, "tokens array<int>"), "numbered")
+        now, id_of = None, np.zeros(1, np.int32)
+        for rows in batches:
+            owner = rows.column(0).to_numpy()
+            number = rows.column(1).fill_null(0).to_numpy()
+            ids = rows.column(2).fill_null(0).to_numpy()
+            starts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1))
+            for start, end in zip(starts, [*starts[1:], len(owner)]):
+                if owner[start] != now:
+                    now, id_of = owner[start], np.zeros(1, np.int32)
+                most = int(number[start:end].max()) + 1
+                if most > len(id_of):
+                    id_of = np.concatenate([id_of, np.zeros(max(most, 2 * len(id_of)) - len(id_of), np.int32)])
+                id_of[number[start:end]] = ids[start:end]
+                for tokens in rows.column(3).slice(start, end - start).drop_null():
+                    tokens = tokens.values.to_numpy()
+                    found = joined_runs(np.where(tokens < len(id_of), id_of[np.minimum(tokens, len(id_of) - 1)], 0))
+                    yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.int32()))], ["tokens"])
+
+    streamed = both.sortWithinPartitions("batch", F.col("tokens").isNotNull()).select("batch", "number", "id", "tokens")
+    return durable(streamed.mapInArrow(run, "tokens array<int>"), "numbered")
 
 
 def mixed(left: np.ndarray, right: np.ndarray, half: int, undo: bool = False) -> tuple[np.ndarray, np.ndarray]:
