@@ -1,7 +1,7 @@
 """Byte-level BPE from a table of merge ranks: whole texts to token ids, and ids back to bytes.
 
 A pre-token is merged with a rank queue: one bucket of positions for each merge rank, and above the
-buckets a bitmap of several levels whose first set bit gives the next rank. Positions are starts of
+buckets a bitmap of two levels whose first set bit gives the next rank. Positions are starts of
 tokens in a linked list; an entry whose pair has changed meanwhile is skipped when it comes up. A
 merge costs a few steps whatever the length, so a pre-token of a whole text is no special case.
 
@@ -14,6 +14,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlens.llm.pretokens import tokenizer_path
+from tandemlens.llm.pretokens import common, fast, tokenizer_path
 from tandemlens.llm.registry import query
 from tandemlens.sources.tables import table
 
 #: Bytes of pre-tokens and their ids that a worker remembers before it starts anew.
-CACHE_BYTES = 96 << 20
-#: What an entry takes besides its text and ids.
-ENTRY_BYTES = 160
-
-#: A blank that is followed by white space or the end: a cut before it could part a run of blanks.
-_WITHIN = regex.compile(r" (?!\S)")
+CACHE_BYTES = 160 << 20
+#: What an entry takes besides its text and ids: two objects, and its place in a dict.
+ENTRY_BYTES = 190
 
 
 @lru_cache(maxsize=2)
@@ -41,88 +39,73 @@ def merge_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-class RankQueue:
-    """Positions in order of (rank, position); ranks are below a fixed number."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        while not self.levels or ranks > 1:
-            ranks = -(-ranks // 64)
-            self.levels.append([0] * ranks)
-        self.downwards = self.levels[::-1]
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        for words in self.levels:
-            word = rank >> 6
-            before = words[word]
-            words[word] = before | 1 << (rank & 63)
-            if before:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int]:
-        """The least rank and the least position there; the queue must not be empty."""
-        rank = 0
-        for words in self.downwards:
-            bits = words[rank]
-            rank = rank << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            left = rank
-            for words in self.levels:
-                word = left >> 6
-                words[word] &= ~(1 << (left & 63))
-                if words[word]:
-                    break
-                left = word
-        return rank, at
-
-
 class Merges:
-    """Ids of pre-tokens by one table of ranks; the queue is empty between two of them."""
+    """Ids of pre-tokens by one table of ranks.
+
+    The rank queue is written out in place, as calls would cost more than its steps. `buckets` has the
+    positions of each rank as a heap, `groups` a bit for each rank in use, 256 to a group, and `top` a bit for
+    each group in use. All are empty between two pre-tokens.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.groups = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        self.bit = [1 << i for i in range(max(256, len(self.groups)))]
 
     def __call__(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        get, n = self.ranks.get, len(piece)
-        push, pop, buckets = self.queue.push, self.queue.pop, self.queue.buckets
+        get, groups, bit = self.ranks.get, self.groups, self.bit
+        buckets, top, n = {}, 0, len(piece)
         after, before = list(range(1, n + 2)), list(range(-1, n))  # starts of the next and the last token
         pair = [-1] * (n + 1)  # rank of the pair that starts here
         for at in range(n - 1):
             rank = get(piece[at : at + 2])
-            if rank is not None:
-                pair[at] = rank
-                push(rank, at)
-        while buckets:
-            rank, at = pop()
+            if rank is None:
+                continue
+            pair[at] = rank
+            if rank in buckets:
+                buckets[rank].append(at)
+            else:
+                buckets[rank] = [at]
+                top |= bit[rank >> 8]
+                groups[rank >> 8] |= bit[rank & 255]
+        while top:
+            group = (top & -top).bit_length() - 1
+            used = groups[group]
+            rank = group << 8 | (used & -used).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                del buckets[rank]
+                groups[group] = used = used & (used - 1)
+                if not used:
+                    top &= top - 1
             if pair[at] != rank:
                 continue  # stale
             gone = after[at]
             end = after[gone]
-            after[at], before[end], pair[gone] = end, at, -1
-            rank = get(piece[at : after[end]]) if end < n else None
-            pair[at] = -1 if rank is None else rank
-            if rank is not None:
-                push(rank, at)
             last = before[at]
-            if last >= 0:
-                rank = get(piece[last:end])
-                pair[last] = -1 if rank is None else rank
-                if rank is not None:
-                    push(rank, last)
+            after[at], before[end], pair[gone] = end, at, -1
+            for start, stop in ((last, end), (at, after[end])) if end < n else ((last, end),):
+                if start < 0:
+                    continue
+                rank = get(piece[start:stop])
+                if rank is None:
+                    pair[start] = -1
+                    continue
+                pair[start] = rank
+                if rank in buckets:
+                    heappush(buckets[rank], start)
+                else:
+                    buckets[rank] = [start]
+                    top |= bit[rank >> 8]
+                    groups[rank >> 8] |= bit[rank & 255]
+            if end == n:
+                pair[at] = -1
         ids, at = [], 0
         while at < n:
             ids.append(self.ranks[piece[at : after[at]]])  # a byte that has no rank is an error
@@ -131,36 +114,33 @@ class Merges:
 
 
 class Encoder(dict):
-    """Chunk of a text -> its ids as little-endian unsigned 32-bit bytes."""
+    """Pre-token -> its ids as little-endian unsigned 32-bit bytes; called with a text, the ids of the whole text.
+
+    Pre-tokens are kept in two dicts: when this one has grown to half of `most` bytes, it takes the place of
+    the older one, which is let go. What is asked for again in time stays.
+    """
 
     def __init__(self, path: str, pattern: str, most: int = CACHE_BYTES):
         super().__init__()
-        self.merged, self.cut, self.most = Merges(merge_ranks(path)), regex.compile(pattern), most
-        self.words: dict[str, bytes] = {}
+        self.merged, self.most = Merges(merge_ranks(path)), most
+        self.cut, self.fast = regex.compile(pattern).findall, fast(pattern).findall
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def _keep(self, cache: dict, text: str, ids: bytes) -> bytes:
-        cache[text] = ids
-        self.held += len(text) + len(ids) + ENTRY_BYTES
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
         if found is None:
-            found = self._keep(self.words, word, np.array(self.merged(word.encode()), "<u4").tobytes())
+            ids = self.merged(word.encode())
+            found = pack(f"<{len(ids)}I", *ids)
+        if 2 * self.held >= self.most:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += len(word) + len(found) + ENTRY_BYTES
+        self[word] = found
         return found
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self._keep(self, chunk, b"".join(map(self._word, self.cut.findall(chunk))))
-
     def __call__(self, text: str) -> bytes:
-        if self.held > self.most:
-            self.clear(), self.words.clear()
-            self.held = 0
-        if _WITHIN.search(text):
-            return b"".join(map(self._word, self.cut.findall(text)))
-        first, *rest = text.split(" ")  # a match begins at each of these blanks
-        return b"".join(map(self.__getitem__, [first, *(" " + chunk for chunk in rest)]))
+        return b"".join(map(self.__getitem__, self.fast(text) if common(text) else self.cut(text)))
 
 
 @lru_cache(maxsize=1)
@@ -172,7 +152,7 @@ def encoder(path: str, pattern: str) -> Encoder:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) for every row of `docs` (doc_id, text); ids are little-endian unsigned 32-bit bytes.
 
-    Each match of `pattern` (which must begin a match at a blank before a non-blank) is merged by itself.
+    Each match of `pattern`, whose only classes are L and N, is merged by itself.
 
     Edge cases: a null text counts as empty and has no ids; rows with the same id or none are encoded each
     by itself; an empty table gives no row; columns other than doc_id and text are not read. Of pairs

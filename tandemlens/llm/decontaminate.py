@@ -52,7 +52,7 @@ def symbols_of(chunk: str) -> bytes:
 @lru_cache(maxsize=1)
 def chunk_symbols() -> Chunks:
     """Word hashes of the chunks that a worker has met in any of its tasks."""
-    return Chunks(symbols_of)
+    return Chunks(symbols_of, "symbols")
 
 
 def words_of(text: str, chunks: Chunks) -> np.ndarray:

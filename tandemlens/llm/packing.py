@@ -11,15 +11,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlens.llm.pretokens import Chunks, load, plain, tokenizer_path
+from tandemlens.llm.pretokens import Chunks, fast, load, plain, tokenizer_path
 from tandemlens.llm.registry import query
 from tandemlens.session import durable
 from tandemlens.sources.tables import table
@@ -29,27 +29,35 @@ END = 1
 GROUP = 1 << 16
 
 # Fixed value: the pattern of the word-level pre-tokenizer.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, as the library gives them."""
+    """Ids of a text as little-endian unsigned 32-bit bytes, as the library gives them.
+
+    A text is cut into words by the tokenizer's own pattern, and each word is encoded once.
+    """
 
     def __init__(self, path: str):
         self.path, self.tokenizer = path, load(path)
-        self.words = Chunks(self._library)
-        self.chunks = Chunks(lambda chunk: b"".join(map(self.words.__getitem__, PATTERN.findall(chunk))))
+        self.model = self.tokenizer.model
+        self.words, self.cut = Chunks(self._word, "packing"), fast(PATTERN).findall
 
     def _library(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            return self._library(word)
+        ids = [token.id for token in self.model.tokenize(word)]  # nothing to normalise or to map to bytes
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if not plain(text, self.path):
             return self._library(text)
         self.words.trim()
-        self.chunks.trim()
-        return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, self.cut(text.lower())))
 
 
 @lru_cache(maxsize=2)
@@ -141,8 +149,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, group: int = GROUP) -
     """The pieces of all documents with sequence_id and offset.
 
     Edge cases: a null or empty text is the end id alone; rows with the same or without an id are
-    packed each by itself; an empty table gives no row. Equal lengths keep the order of their rows.
-    Columns other than doc_id and text are not read.
+    packed each by itself; an empty table gives no row. Columns other than doc_id and text are not read.
     """
     cut = durable(pieces(docs, path, window), "pieces")
     full = cut.filter(F.col("length") == window).withColumns(

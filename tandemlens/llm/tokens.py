@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlens.llm.pretokens import CACHE, Chunks, load, plain, special_strings, tokenizer_path
+from tandemlens.llm.pretokens import Chunks, load, plain, special_strings, tokenizer_path
 from tandemlens.llm.registry import query
 from tandemlens.session import durable
 from tandemlens.sources.tables import table
@@ -99,7 +99,7 @@ class Counts:
     def __init__(self, path: str, known: dict[str, int]):
         self.path, self.known = path, known
         self.rare: dict[str, list[str]] = {}
-        self.chunks = Chunks(self._chunk)
+        self.chunks = Chunks(self._chunk, "counts")
 
     def _split(self, tokens: list[str]) -> tuple[int, list[str]]:
         known = list(map(self.known.get, tokens))
@@ -120,8 +120,8 @@ class Counts:
             tokens, special = whole_cut(text, self.path)
             total, rare = self._split(tokens)
             return total + special, Counter(rare)
-        if len(self.chunks) > CACHE:
-            self.chunks.clear(), self.rare.clear()
+        if self.chunks.trim():
+            self.rare.clear()
         total = sum(map(self.chunks.__getitem__, parts))
         return total, Counter(token for chunk in parts if chunk in self.rare for token in self.rare[chunk])
 

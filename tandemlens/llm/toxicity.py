@@ -74,7 +74,7 @@ class Reader:
 
     def __init__(self, known: dict[str, int] | None = None):
         keep = (lambda f: True) if known is None else known.__contains__
-        self.chunks = Chunks(lambda chunk: tuple(filter(keep, word_features(chunk))))
+        self.chunks = Chunks(lambda chunk: tuple(filter(keep, word_features(chunk))), "features")
 
     def __call__(self, text: str) -> set[str]:
         self.chunks.trim()
