@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,18 +61,27 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that `durable` wrote in this process; to be called once their results are used.
+def tables_written() -> list[str]:
+    """Paths of the tables that `durable` wrote in this process and that are not deleted yet."""
+    return list(_WRITTEN)
 
-    Returns how many there were. Any file system that Spark can write to will do.
-    """
-    count = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> int:
+    """Delete those of `paths` that `durable` wrote; returns how many. Any file system that Spark can write to will do."""
+    count = 0
+    for path in set(paths).intersection(_WRITTEN):
+        _WRITTEN.remove(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        count += 1
     return count
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all tables that `durable` wrote in this process; to be called once their results are used."""
+    return drop_tables(spark, tables_written())
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Rows and bytes of the whole table are within the limits: counted, not guessed.
 
