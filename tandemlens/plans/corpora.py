@@ -15,6 +15,7 @@ from tandemlens.functions.arrays import (
     struct_of_lists_to_list,
 )
 from tandemlens.functions.frames import evaluated_once
+from tandemlens.functions import variants
 from tandemlens.functions.text import text_or_empty, words
 from tandemlens.operators import qa
 from tandemlens.operators.ordered import running_totals
@@ -423,3 +424,63 @@ def complete_pairs(spark, root):
     examples = qa_examples(spark, root)
     keep = (F.trim(text_or_empty("question")) != "") & any_answer(F.col("answers"))
     return examples.where(keep).select("example_id", "question")
+
+
+def _shaped(spark, root):
+    """JSON of a shape that depends on the row: nested object, list, texts within texts, scalar, null, nothing."""
+    name, n = F.concat(F.lit('"'), "source", F.lit('"')), F.col("doc_id").cast("string")
+    many = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: (i + F.col("doc_id")).cast("string")), ","), F.lit("]"))
+    levels = ["a", "b", "c", "d", "e", "f"]
+    deep = F.concat(*[F.lit(f'{{"{k}":') for k in levels], F.lit("["), n, F.lit(","), name, F.lit("]"), F.lit("}" * len(levels)))
+    kind = F.col("doc_id") % 7
+    raw = (
+        F.when(kind == 0, F.concat(F.lit('{"deep":'), deep, F.lit(',"many":'), many, F.lit("}")))
+        .when(kind == 1, many)
+        .when(kind == 2, F.concat(F.lit('{"id":'), n, F.lit(',"text":{"text":['), name, F.lit(',"b"]}}')))
+        .when(kind == 3, name)
+        .when(kind == 4, n)
+        .when(kind == 5, "null")
+        .otherwise("{broken")
+    )
+    rows = table(spark, root, "documents").select("doc_id", raw.alias("raw"))
+    return rows.select("doc_id", F.try_parse_json("raw").alias("v"))
+
+
+_MANY_SQL = "list_transform(range(1, {n}), lambda i: (i + doc_id)::VARCHAR)"
+_DEEP = ("a", "b", "c", "d", "e", "f")
+
+
+def _cut_sql(depth: int) -> str:
+    """What is left of the nested object when only `depth` levels are looked into."""
+    tail = "'[' || doc_id || ',\"' || source || '\"]'"
+    kept = min(depth, len(_DEEP))  # the levels a, b, ... that stay objects
+    rest = "".join(f'{{"{k}":' for k in _DEEP[kept:])
+    inner = f"'{rest}' || {tail} || '{'}' * len(_DEEP[kept:])}'"
+    if depth < len(_DEEP) + 1:  # the first level that does not fit is a string
+        inner = f"'\"' || replace({inner}, '\"', '\\\"') || '\"'"
+    head = "".join(f'{{"{k}":' for k in _DEEP[:kept])
+    many = f"'[' || array_to_string({_MANY_SQL.format(n=11)}, ',') || ']'"
+    whole = f"'{{\"deep\":{head}' || {inner} || '{'}' * kept},\"many\":' || {many} || '}}'"
+    return f"""CASE doc_id % 7 WHEN 0 THEN {whole} WHEN 1 THEN {many}
+    WHEN 2 THEN '{{"id":' || doc_id || ',"text":{{"text":["' || source || '","b"]}}}}' WHEN 3 THEN '"' || source || '"'
+    WHEN 4 THEN doc_id::VARCHAR ELSE 'null' END"""
+
+
+@query(f"SELECT doc_id, " + ", ".join(f"{_cut_sql(d)} AS depth_{d}" for d in (2, 3, 5, 10)) + " FROM documents")
+def json_depths(spark, root):
+    """Values of every shape, cut at four depths, with lists of ten."""
+    v = F.col("v")
+    return _shaped(spark, root).select("doc_id", *[variants.capped_json(v, 10, d).alias(f"depth_{d}") for d in (2, 3, 5, 10)])
+
+
+@query(
+    f"""
+SELECT doc_id, CASE doc_id % 7
+  WHEN 0 THEN '{{"deep":{"".join(f'{{"{k}":' for k in _DEEP)}[' || doc_id || ',"' || source || '"]{"}" * len(_DEEP)},"many":['
+    || array_to_string({_MANY_SQL.format(n=13)}, ',') || ']}}'
+  WHEN 1 THEN array_to_string({_MANY_SQL.format(n=11)}, ' ') WHEN 2 THEN source || ' b' WHEN 3 THEN source
+  WHEN 4 THEN doc_id::VARCHAR ELSE '' END AS text FROM documents"""
+)
+def json_texts(spark, root):
+    """One text for a value of every shape."""
+    return _shaped(spark, root).select("doc_id", variants.text_of(F.col("v")).alias("text"))

@@ -277,30 +277,44 @@ def recall_at_100(spark, root):
     return rounded(ranking.full_recall_at(ranked(spark, root), 100))
 
 
-ANSWER_SQL = """(SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[!-/:-@\\[-`{-~]', '', 'g'),
-    '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM
-    (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lower(left(text, 60)) ELSE substr(text, 11, 60) END AS x FROM documents))"""
-GOLD_SQL = ANSWER_SQL.replace("CASE WHEN doc_id % 3 = 0 THEN lower(left(text, 60)) ELSE substr(text, 11, 60) END", "left(text, 60)")
+# An article stands between characters that are no letters, digits or underscores, of any script.
+_NORMAL_SQL = r"""trim(regexp_replace(regexp_replace(
+  ' ' || regexp_replace(regexp_replace(lower({x}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\s', '  ', 'g') || ' ',
+  '([^\p{{L}}\p{{M}}\p{{N}}_])(a|an|the)([^\p{{L}}\p{{M}}\p{{N}}_])', '\1 \3', 'g'), '\s+', ' ', 'g'))"""
+
+ANSWERS_SQL = f"""(SELECT a.conv_id, a.turn, {_NORMAL_SQL.format(x="a.text")} AS gold, {_NORMAL_SQL.format(
+    x="CASE a.conv_id % 3 WHEN 0 THEN lower(a.text) WHEN 1 THEN 'The ' || a.text || ' an end!' ELSE coalesce(q.text, '') END"
+)} AS given FROM conversations a LEFT JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1
+  WHERE a.role = 'assistant')"""
 
 
 @query(
     f"""
-WITH a AS (SELECT doc_id, t, list_filter(string_split(t, ' '), lambda w: w <> '') AS w FROM {ANSWER_SQL}),
-g AS (SELECT doc_id, t, list_filter(string_split(t, ' '), lambda w: w <> '') AS w FROM {GOLD_SQL}),
-ac AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM a) GROUP BY ALL),
-gc AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM g) GROUP BY ALL),
-s AS (SELECT doc_id, sum(least(ac.n, gc.n)) AS shared FROM ac JOIN gc USING (doc_id, word) GROUP BY doc_id)
-SELECT doc_id, (a.t = g.t)::int::double AS exact_match,
-  round(CASE WHEN len(a.w) + len(g.w) = 0 THEN 1e0 ELSE 2e0 * coalesce(shared, 0) / (len(a.w) + len(g.w)) END, 6)
-  AS token_f1 FROM a JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)"""
+WITH a AS (SELECT *, list_filter(string_split(gold, ' '), lambda w: w <> '') AS g,
+    list_filter(string_split(given, ' '), lambda w: w <> '') AS w FROM {ANSWERS_SQL}),
+gc AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest(g) AS word FROM a) GROUP BY ALL),
+wc AS (SELECT conv_id, turn, word, count(*) AS n FROM (SELECT conv_id, turn, unnest(w) AS word FROM a) GROUP BY ALL),
+s AS (SELECT conv_id, turn, sum(least(wc.n, gc.n)) AS shared FROM wc JOIN gc USING (conv_id, turn, word) GROUP BY conv_id, turn)
+SELECT conv_id, turn, (gold = given)::int::double AS exact_match,
+  round(CASE WHEN len(w) + len(g) = 0 THEN 1e0 ELSE 2e0 * coalesce(shared, 0) / (len(w) + len(g)) END, 6)
+  AS token_f1 FROM a LEFT JOIN s USING (conv_id, turn)"""
 )
 def answer_em_f1(spark, root):
-    """The first characters of each text as the right answer, a shifted or lower-cased copy as the given one."""
-    shifted = F.when(F.col("doc_id") % 3 == 0, F.lower(F.left("text", F.lit(60)))).otherwise(F.substring("text", 11, 60))
-    pairs = table(spark, root, "documents").select("doc_id", F.left("text", F.lit(60)).alias("gold"), shifted.alias("given"))
+    """Whole assistant turns as right answers; as given ones their lower-cased copy, a longer copy, or the question."""
+    turns = table(spark, root, "conversations")
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    gold = turns.where(F.col("role") == "assistant").join(asked, ["conv_id", "turn"], "left")
+    kind, text = F.col("conv_id") % 3, F.col("text")
+    given = (
+        F.when(kind == 0, F.lower(text))
+        .when(kind == 1, F.concat(F.lit("The "), text, F.lit(" an end!")))
+        .otherwise(F.coalesce("question", F.lit("")))
+    )
+    pairs = gold.select("conv_id", "turn", text.alias("gold"), given.alias("given"))
     return rounded(
         pairs.select(
-            "doc_id",
+            "conv_id",
+            "turn",
             answers.exact_match(F.col("given"), F.col("gold")).alias("exact_match"),
             answers.token_f1(F.col("given"), F.col("gold")).alias("token_f1"),
         )

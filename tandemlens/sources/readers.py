@@ -58,8 +58,8 @@ def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Each file by its own kind: a JSON array or one object over several lines as a document,
     anything else as JSON lines with malformed lines dropped.
 
-    The first line that is not blank decides for its file. Only one line and the name of each
-    file go to the driver.
+    The first line that is not blank decides how its file is tried; a file that is no document after all is
+    read as lines, so a malformed first line costs that line only. Only the names of files go to the driver.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -73,6 +73,14 @@ def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     kinds = {True: [], False: []}
     for row in firsts.select("file", starts_document.alias("document")).toLocalIterator():
         kinds[row["document"]].append(row["file"])
+    if kinds[True]:
+        full = f"{schema}, {REJECT} STRING"
+        tried = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", REJECT).json(kinds[True])
+        parsed = F.count(F.col(tried.columns[0]))  # the corrupt text alone may not be asked for
+        of_file = tried.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(REJECT).alias("bad"), parsed.alias("n"))
+        lines_after_all = {row["file"] for row in of_file.toLocalIterator() if row["bad"]}
+        kinds[False] += sorted(lines_after_all)
+        kinds[True] = [file for file in kinds[True] if file not in lines_after_all]
     parts = [read(spark, kinds[kind], schema) for kind, read in ((True, json_documents), (False, json_lines)) if kinds[kind]]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 

@@ -190,3 +190,13 @@ def test_nq_record_needs_a_question_and_an_answer(spark):
     got = qa.nq_record(spark.createDataFrame(rows, schema)).collect()
     assert [(r.example_id, r.short_answers, r.long_answers) for r in got] == [("1", ["a"], ["a   c"])]
     assert (got[0].has_short_answer, got[0].has_long_answer, got[0].document_url) == (True, True, "")
+
+
+def test_malformed_first_line_costs_that_line_only(spark, tmp_path):
+    good = "".join(f'{{"k": {i}}}\n' for i in range(10))
+    (tmp_path / "cut.jsonl").write_text('{"k": 99, "te\n' + good)
+    (tmp_path / "bracket.jsonl").write_text("[oops\n" + good)
+    (tmp_path / "whole.json").write_text('{\n "k": 50\n}\n')
+    (tmp_path / "broken.json").write_text('{\n "k": 51,\n')
+    got = sorted(r.k for r in readers.json_any(spark, str(tmp_path), "k bigint").collect())
+    assert got == sorted([*range(10)] * 2 + [50])
