@@ -19,6 +19,7 @@ FAMILIES = (
     "neural",
     "representation",
     "retrieval",
+    "sketching",
     "statistics",
     "experiment",
     "streams",
