@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VECTOR = "array<double>"
@@ -153,15 +153,27 @@ KINDS: dict[str, Callable] = {
 }
 
 
+#: Weights beyond this are refused: every Python worker holds them.
+MOST_BYTES = 1 << 30
+
+
+def _held(weights: Weights):
+    """The weights, sent to each executor once and not with every task."""
+    size = sum(layer.w.nbytes + layer.b.nbytes for layer in weights.values())
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of weights, {MOST_BYTES} at most")
+    return SparkSession.active().sparkContext.broadcast(weights)
+
+
 def fused(kind: str, weights: Weights) -> Callable[[Column, Column], Column]:
     """Column function (kg, dense) -> fused vector."""
-    combine = KINDS[kind]
+    combine, held = KINDS[kind], _held(weights)
 
     @F.pandas_udf(VECTOR)
     def apply(kg: pd.Series, dense: pd.Series) -> pd.Series:
         if not len(kg):
             return pd.Series([], dtype=object)
-        return pd.Series(list(combine(np.vstack(kg), np.vstack(dense), weights)))
+        return pd.Series(list(combine(np.vstack(kg), np.vstack(dense), held.value)))
 
     return apply
 
@@ -169,6 +181,7 @@ def fused(kind: str, weights: Weights) -> Callable[[Column, Column], Column]:
 def task_head(task: str, weights: Weights) -> Callable[[Column], Column]:
     """Column function fused vector -> logit. Retrieval doubles the vector when it stands
     for the query and the passage alike."""
+    held = _held(weights)
 
     @F.pandas_udf("double")
     def apply(vector: pd.Series) -> pd.Series:
@@ -176,7 +189,7 @@ def task_head(task: str, weights: Weights) -> Callable[[Column], Column]:
             return pd.Series([], dtype="float64")
         x = np.vstack(vector)
         x = np.hstack([x, x]) if task == "ir" else x
-        return pd.Series(_mlp(x, weights["head1"], weights["head2"])[:, 0])
+        return pd.Series(_mlp(x, held.value["head1"], held.value["head2"])[:, 0])
 
     return apply
 

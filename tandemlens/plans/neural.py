@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tandemlens.functions.encoders import hashed_mean
 from tandemlens.functions.vectors import as_double, cosine, sigmoid
-from tandemlens.operators import binary, fusion, graph
+from tandemlens.operators import binary, fusion, graph, training
 from tandemlens.plans.catalog import query, rnd, rounded
 from tandemlens.plans.inputs import documents, token_rows_sql
+from tandemlens.session import durable
 from tandemlens.sources.tables import table
 
 HIDDEN = 64
@@ -241,15 +242,48 @@ def text_encoder(spark, root):
 
 @query()
 def trained_classifier(spark, root):
-    """Logistic regression on the vectors (even against odd labels), trained and judged on Spark."""
+    """Logistic regression on the vectors (even against odd labels), trained on four fifths and judged on the rest."""
     rows = table(spark, root, "embeddings").select(
         "vec_id",
         array_to_vector(as_double(F.col("embedding"))).alias("features"),
         (F.col("label") % 2).cast("double").alias("label"),
     )
-    model = LogisticRegression(maxIter=20, regParam=1e-5, tol=1e-6).fit(rows)
-    scored = model.transform(rows).select(
+    model = LogisticRegression(maxIter=20, regParam=1e-5, tol=1e-6).fit(rows.filter("vec_id % 5 <> 0"))
+    scored = model.transform(rows.filter("vec_id % 5 = 0")).select(
         vector_to_array("probability")[1].alias("score"), F.col("label").cast("int").alias("label")
     )
     metrics = binary.binary_metrics(scored, "score", "label")
     return rounded(metrics.withColumn("auc", binary.roc_auc(scored, "score", "label").scalar()), 3)
+
+
+def _training_rows(spark, root):
+    features = training.fusion_features(F.col("kg"), F.col("dense"))
+    return _pairs(spark, root).select("vec_id", features.alias("features"), (F.col("label") % 2).alias("label"))
+
+
+@query(
+    f"""
+WITH x AS (SELECT vec_id, label % 2 AS y, list_concat(kg, dense,
+    list_transform(range({HIDDEN}), lambda i: kg[i + 1] * dense[i + 1]), [1e0]) AS x FROM {PAIRS_SQL}),
+g AS (SELECT pos, avg((0.5 - y) * v) AS g FROM (SELECT y, unnest(range({3 * HIDDEN + 1})) AS pos, unnest(x) AS v FROM x) GROUP BY pos),
+c AS (SELECT pos, g, g * least(1, 1 / (sqrt(sum(g * g) OVER ()) + 1e-6)) AS cut FROM g)
+SELECT pos, round(g, 6) AS gradient, round(-0.05 * cut / (abs(cut) + 1e-8), 6) AS weight FROM c"""
+)
+def fusion_training_step(spark, root):
+    """Gradient of all rows at zero weights, and the weights after one step."""
+    rows = _training_rows(spark, root)
+    state = training.State.zero(3 * HIDDEN + 1)
+    mean, _, _ = training.gradient(rows.withColumn("label", F.col("label").cast("double")), state.weights)
+    after = training.adamw(state, mean, 0.05)
+    made = [(i, float(g), float(w)) for i, (g, w) in enumerate(zip(mean, after.weights))]
+    return rounded(spark.createDataFrame(made, "pos bigint, gradient double, weight double"))
+
+
+@query()
+def trained_fusion(spark, root):
+    """The fusion head after three epochs on four fifths of the rows, judged on the rest."""
+    rows = durable(_training_rows(spark, root), "fusion-rows")
+    state, _ = training.train(rows.filter("vec_id % 5 <> 0"), "vec_id", epochs=3, batches=4, rate=0.02)
+    judged = rows.filter("vec_id % 5 = 0").select(training.scored(F.col("features"), state).alias("score"), "label")
+    metrics = binary.binary_metrics(judged, "score", "label")
+    return rounded(metrics.withColumn("auc", binary.roc_auc(judged, "score", "label").scalar()), 3)
