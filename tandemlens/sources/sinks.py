@@ -21,11 +21,16 @@ def parquet(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def numbered_batches(df: DataFrame, path: str, size: int, order: str) -> None:
-    """Batches of exactly `size` rows in order, one folder each (`batch=1`, `batch=2`, ...)."""
+def numbered_batches(df: DataFrame, path: str, size: int, order: str, parts: int | None = None) -> None:
+    """Batches of exactly `size` rows in order, one file each, with the batch's number in every row.
+
+    Ranges of whole batches are dealt to tasks, and a task begins a new file after `size` rows, so there are as many
+    files as batches in one folder. Spark commits a task's files together: one that fails leaves none.
+    """
     numbered = batches(df, size, [F.col(order)])
-    rows = numbered.repartition("batch").sortWithinPartitions("batch", "place").drop("place")
-    rows.write.mode("overwrite").partitionBy("batch").json(path)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = numbered.repartitionByRange(parts, "batch").sortWithinPartitions("batch", "place").drop("place")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", size).json(path)
 
 
 def summary_document(df: DataFrame, path: str, **fields) -> None:

@@ -131,10 +131,26 @@ def test_zip_is_unpacked_once(tmp_path):
     assert readers.extract_if_absent(*args) and not readers.extract_if_absent(*args)
 
 
-def test_numbered_batches(spark, tmp_path):
-    sinks.numbered_batches(spark.range(25), str(tmp_path / "b"), 10, "id")
-    back = readers.json_lines(spark, str(tmp_path / "b"), "id long, batch int")
-    assert {r.batch: r.n for r in back.groupBy("batch").agg(F.count("*").alias("n")).collect()} == {1: 10, 2: 10, 3: 5}
+@pytest.mark.parametrize("parts", [None, 1, 2, 50])
+def test_numbered_batches(spark, tmp_path, parts):
+    folder = tmp_path / "b"
+    sinks.numbered_batches(spark.range(1005).repartition(7), str(folder), 10, "id", parts)
+    back = readers.json_lines(spark, str(folder), "id long, batch int").select("id", "batch", "_metadata.file_name")
+    found = {}
+    for r in back.collect():
+        assert r.batch == r.id // 10 + 1
+        found.setdefault(r.file_name, []).append((r.batch, r.id))
+    assert sorted(len(f) for f in found.values()) == [5] + [10] * 100
+    assert all(len({b for b, _ in f}) == 1 for f in found.values())
+    assert [found[name][0][0] for name in sorted(found)] == list(range(1, 102))  # names are in the order of batches
+    assert {p.name for p in folder.iterdir() if p.is_dir()} == set()
+
+
+def test_a_failed_task_leaves_no_batch_file(spark, tmp_path):
+    bad = spark.range(100).selectExpr("id", "CASE WHEN id = 95 THEN raise_error('stop') ELSE 'x' END AS v")
+    with pytest.raises(Exception, match="stop"):
+        sinks.numbered_batches(bad, str(tmp_path / "b"), 10, "id", 4)
+    assert not list((tmp_path / "b").glob("part-*.json"))
 
 
 def test_splits_summary_report_and_append(spark, tmp_path):
