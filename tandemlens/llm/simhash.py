@@ -1,11 +1,10 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked within a few bits.
 
-Multi-index hashing: for every segment of the fingerprint the Hamming ball of radius one is
-enumerated within that segment, the rest staying as it is. Two fingerprints that differ in at
-most two bits share an entry (change one of the two bits in one of them, the other bit in the
-other), and entries in common are verified over all 64 bits. An entry holds at most 65 different
-fingerprints, whatever the data, so an index keyed this way has no hot bucket; one keyed by the
-segment's bits alone would gather all documents that share a segment.
+Multi-index hashing: a fingerprint has two segments of 32 bits, and each has a table of all fingerprints by
+its value. Of two fingerprints within two bits one segment differs by one bit at most, so the Hamming ball of
+radius one around each segment of the one (33 values) meets the other in that segment's table; the complete
+distance is verified. A segment value that many fingerprints share is split by parts of the other
+segment: with at most two bits apart, one of its three parts is equal.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +20,14 @@ from tandemlens.llm.common import packed, unpacked
 from tandemlens.llm.graph import components
 from tandemlens.llm.minhash import similar_documents
 from tandemlens.llm.registry import query
-from tandemlens.session import durable
+from tandemlens.session import durable, fits_broadcast
 from tandemlens.sources.tables import table
 
 SHINGLE = 3
 SEED = 42
-SEGMENTS = 4
-SEGMENT_BITS = 64 // SEGMENTS
 MAX_BITS = 2
+#: Fingerprints from which on a segment value is split.
+HOT = 256
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 15
 
@@ -58,30 +57,53 @@ def fingerprint(text: pa.Array) -> pa.Array:
     return pa.array(found.view(np.int64))
 
 
-def entries(prints: DataFrame) -> DataFrame:
-    """(entry, fp): every fingerprint under itself and under its balls within each segment."""
-    masks = [0] + [
-        1 << (segment * SEGMENT_BITS + bit) for segment in range(SEGMENTS) for bit in range(SEGMENT_BITS)
+def _segments(fp: Column) -> list[tuple[Column, Column]]:
+    """Each segment's value, numbered in bit 32, and the other segment."""
+    low, high = fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)
+    return [(low, high), (high.bitwiseOR(F.lit(1 << 32)), low)]
+
+
+def _parts(rest: Column) -> Column:
+    """Three parts of a segment, numbered in bits 11 and 12."""
+    part = lambda n, shift: F.shiftright(rest, shift).bitwiseAND(F.lit(0x7FF)).bitwiseOR(F.lit(n << 11))
+    return F.array(part(0, 0), part(1, 11), part(2, 22))
+
+
+def tables(prints: DataFrame, flips: bool) -> DataFrame:
+    """(value, rest, fp): a row for each segment, or one for each value in the ball around it."""
+    masks = [0, *(1 << bit for bit in range(32))] if flips else [0]
+    rows = [
+        F.struct(value.bitwiseXOR(F.lit(m).cast("bigint")).alias("value"), rest.alias("rest"))
+        for value, rest in _segments(F.col("fp"))
+        for m in masks
     ]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    balls = F.array(*[F.col("fp").bitwiseXOR(F.lit(m).cast("bigint")) for m in signed])
-    return prints.select("fp", F.explode(balls).alias("entry"))
+    return prints.select("fp", F.inline(F.array(*rows))).select("value", "rest", "fp")
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) with a < b: distinct fingerprints within `max_bits` (2 or fewer) of each other."""
     if not 0 <= max_bits <= 2:
-        raise ValueError("balls of radius one find pairs within two bits")
-    index = entries(prints.select("fp").distinct())
-    other = index.select("entry", F.col("fp").alias("b"))
-    return (
-        index.withColumnRenamed("fp", "a")
-        .join(other, "entry")
-        .filter("a < b")
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .select("a", "b")
-        .distinct()
+        raise ValueError("two segments with balls of radius one find pairs within two bits")
+    distinct = durable(prints.select("fp").distinct(), "distinct_fps")
+    stored, probes = tables(distinct, False), tables(distinct, True)
+    hot = durable(stored.groupBy("value").count().filter(F.col("count") > HOT).select("value"), "hot_segments")
+    whole = F.array(F.lit(-1).cast("bigint"))
+    if hot.isEmpty():
+        stored, probes = (side.withColumn("part", F.lit(-1).cast("bigint")) for side in (stored, probes))
+    else:
+        mark = hot.withColumn("hot", F.lit(True))
+        mark = F.broadcast(mark) if fits_broadcast(mark) else mark
+
+        def split(side: DataFrame) -> DataFrame:
+            marked = side.join(mark, "value", "left")
+            return marked.withColumn("part", F.explode(F.when(F.col("hot"), _parts(F.col("rest"))).otherwise(whole)))
+
+        stored, probes = split(stored), split(probes)
+    met = probes.select("value", "part", F.col("fp").alias("one")).join(
+        stored.select("value", "part", F.col("fp").alias("other")), ["value", "part"]
     )
+    near = (F.col("one") < F.col("other")) & (F.bit_count(F.col("one").bitwiseXOR(F.col("other"))) <= max_bits)
+    return met.filter(near).select(F.col("one").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

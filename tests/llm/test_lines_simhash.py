@@ -111,13 +111,15 @@ def test_fingerprints_of_odd_texts(text):
     assert fingerprint_of(text) == plain_print(text)
 
 
-def test_links_at_every_distance(spark, monkeypatch):
-    """Fingerprints given, not computed: chains, bit 63, distances 0 to 3, a dense ball."""
+@pytest.mark.parametrize("hot", [256, 2])
+def test_links_at_every_distance(spark, monkeypatch, hot):
+    """Fingerprints given, not computed: chains, bit 63, distances 0 to 3, a dense ball, segments that many share."""
     import random
 
     from tandemlens.llm import simhash
     from tandemlens.llm.graph import components
 
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(30)] + [0, (1 << 64) - 1]
     values = set(base)
@@ -129,6 +131,8 @@ def test_links_at_every_distance(spark, monkeypatch):
             values.add(y)
     for a, b in combinations(range(56, 64), 2):
         values.add(base[0] ^ (1 << a) ^ (1 << b))
+    values.update(base[2] ^ rng.getrandbits(32) for _ in range(40))  # one high segment, any low one
+    values.update(base[3] ^ (rng.getrandbits(6) << 40) for _ in range(40))
     chain = base[1]
     for bit in range(0, 40, 2):
         chain ^= 3 << bit
