@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandemlens.session import fits_broadcast
+
 #: White space of the text contracts: blank, tab, newline, vertical tab, form feed, return.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -30,3 +32,8 @@ def unpacked(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; an id that is null counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table marked for broadcast, if it is counted to be small; as it is otherwise."""
+    return F.broadcast(df) if fits_broadcast(df) else df

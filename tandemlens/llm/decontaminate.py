@@ -19,9 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlens.llm.common import packed, unpacked
+from tandemlens.llm.common import packed, small, unpacked
 from tandemlens.llm.pretokens import Chunks
 from tandemlens.llm.registry import query
+from tandemlens.session import durable
 from tandemlens.sources.tables import table
 
 #: An item is contained if at most this share of its words has to be edited.
@@ -278,8 +279,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item; rows without an id go if one of them does contain one."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("leaks_in")).distinct()
-    kept = packed(docs, doc_id=F.col("doc_id")).join(bad, F.col("doc_id").eqNullSafe(F.col("leaks_in")), "left_anti")
+    bad = durable(leaks(docs, benchmark).select(F.col("doc_id").alias("leaks_in")).distinct(), "leaking")
+    kept = packed(docs, doc_id=F.col("doc_id")).join(small(bad), F.col("doc_id").eqNullSafe(F.col("leaks_in")), "left_anti")
     return unpacked(kept, docs.columns)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tandemlens.llm.common import packed, unpacked
+from tandemlens.llm.common import packed, small, unpacked
 from tandemlens.llm.graph import components
 from tandemlens.llm.minhash import similar_documents
 from tandemlens.llm.registry import query
@@ -134,7 +134,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = durable(similar_documents(docs), "near_duplicates")
     copies = found.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("copy")).distinct()
-    kept = packed(docs, doc_id=F.col("doc_id")).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
+    kept = packed(docs, doc_id=F.col("doc_id")).join(small(copies), F.col("doc_id") == F.col("copy"), "left_anti")
     again = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
     if not again.isEmpty():
         kept = kept.filter("doc_id IS NULL").unionByName(
