@@ -27,7 +27,7 @@ from tandemlens.llm.registry import query
 from tandemlens.sources.tables import table
 
 #: Bytes of pre-tokens and their ids that a worker remembers before it starts anew.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 80 << 20
 #: What an entry takes besides its text and ids: two objects, and its place in a dict.
 ENTRY_BYTES = 190
 
