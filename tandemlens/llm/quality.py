@@ -2,19 +2,19 @@
 
 The model is a modified Kneser-Ney model over bytes, counted by Spark on all documents. Spark
 also derives the discounts, the interpolated probabilities of all orders and the back-off
-weights; only the finished model is stored, as sorted arrays of hash slots whose number is bounded
-(2^SLOT_BITS for each order). Documents outside the lower and upper
-perplexity bands of their language are rejected.
+weights; only the finished model is kept, with every n-gram that was counted, and used as arrays sorted by
+hash. Workers hold BLOCK entries at a time: a larger model takes several passes over the texts.
+Documents outside the lower and upper perplexity bands of their language are rejected.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +24,8 @@ from tandemlens.session import durable
 from tandemlens.sources.tables import table
 
 ORDER = 5
-#: Slots of the hash arrays of one order: the model a worker holds has a fixed upper size.
-SLOT_BITS = 22
+#: N-grams of the model that a worker holds at once (about 80 MB); a larger model comes in several blocks.
+BLOCK = 1 << 22
 #: Distinct n-grams that a task gathers before it passes them on.
 GATHERED = 1 << 21
 #: N-grams that are looked at together.
@@ -196,66 +196,78 @@ def model_tables(docs: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, D
     return tables
 
 
-def slots(keys: np.ndarray, lang: str) -> np.ndarray:
-    """Hash slot of each n-gram or context of a language."""
-    mixed = (keys ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")))) * _SALT
+def hashed(grams: np.ndarray) -> np.ndarray:
+    """Each n-gram or context mixed to 64 bits; no two have the same hash, as every step can be undone."""
+    mixed = grams * _SALT
     mixed ^= mixed >> np.uint64(29)
-    return (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+    return mixed * np.uint64(0xBF58476D1CE4E5B9)
 
 
 @F.arrow_udf(T.LongType())
-def slot(lang: pa.Array, key: pa.Array) -> pa.Array:
-    keys, langs = key.to_numpy(zero_copy_only=False).view(np.uint64), np.array(lang.to_pylist(), object)
-    out = np.zeros(len(keys), np.int64)
-    for one in set(langs):
-        out[langs == one] = slots(keys[langs == one], one)
-    return pa.array(out)
+def hash_of(gram: pa.Array) -> pa.Array:
+    return pa.array(hashed(gram.to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64))
 
 
-def sorted_slots(table_: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values) sorted by slot; n-grams that share a slot share their mean value."""
-    found = (
-        table_.withColumn("slot", slot("lang", key)).groupBy("slot").agg(F.avg(value).cast("float").alias("v")).toArrow()
-    )  # at most 2^SLOT_BITS rows
-    keys = found["slot"].to_numpy().astype(np.uint32)
-    order = np.argsort(keys)
-    return keys[order], found["v"].to_numpy()[order]
+class HashArrays:
+    """Values by hash: arrays sorted by hash, whose leading bits lead to the first entry to be looked at.
 
-
-class SlotTable:
-    """Values by hash slot: kept and sent as sorted arrays, spread over all slots where they are used.
-
-    A worker spreads a table once (4 bytes a slot, 16 MB); a binary search in the sorted arrays for each
-    byte of the corpus would cost several times as much.
+    A hash that is not stored is a miss. The directory of leading bits (4 to 8 bytes an entry) is made where
+    the arrays are used and not sent.
     """
 
-    def __init__(self, slots: np.ndarray, values: np.ndarray):
-        self.slots, self.values, self.spread = slots, values, None
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes = np.append(hashes[order], ~np.uint64(0))  # an end that no hash is above
+        self.values = np.append(values[order], np.float32(np.nan))
+        self.starts = None
 
     def __getstate__(self):
-        return self.__dict__ | {"spread": None}
+        return self.__dict__ | {"starts": None}
 
     def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
-        """Value of each slot, NaN where nothing is stored."""
-        if self.spread is None:
-            self.spread = np.full(1 << SLOT_BITS, np.nan, np.float32)
-            self.spread[self.slots] = self.values
-        return self.spread[wanted]
+        """Value of each hash, NaN where nothing is stored."""
+        bits = max((len(self.hashes) - 1).bit_length(), 1)
+        if self.starts is None:
+            held = np.bincount((self.hashes[:-1] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            self.starts = np.append(0, np.cumsum(held)[:-1]).astype(np.uint32)
+        at = self.starts[(wanted >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
+        late = np.flatnonzero(self.hashes[at] < wanted)
+        while len(late):
+            at[late] += 1
+            late = late[self.hashes[at[late]] < wanted[late]]
+        return np.where(self.hashes[at] == wanted, self.values[at], np.float32(np.nan))
+
+
+NOTHING = HashArrays(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+
+
+def hash_arrays(rows: DataFrame) -> dict[str, HashArrays]:
+    """The arrays of each language from (lang, hash, v)."""
+    found = rows.select("lang", "hash", F.col("v").cast("float").alias("v")).toArrow().combine_chunks()
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(langs, pa.ChunkedArray):
+        langs = langs.combine_chunks()
+    of, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+    hashes, values = found.column("hash").to_numpy().view(np.uint64), found.column("v").to_numpy()
+    return {name: HashArrays(hashes[of == i], values[of == i]) for i, name in enumerate(names)}
 
 
 class HashedModel:
-    """The finished model: log-probabilities and log back-off weights of each order by hash slot."""
+    """The whole model in memory, for texts that may hold n-grams it has not counted.
+
+    Log-probabilities and log back-off weights of each order and language by hash. It passes through
+    the driver; texts that were counted themselves are scored by `log_perplexities`, which needs less.
+    """
 
     def __init__(self, tables: list[tuple[DataFrame, DataFrame]]):
         self.order = len(tables)
-        self.levels = []
-        for probabilities, gammas in tables:
-            self.levels.append(
-                (
-                    SlotTable(*sorted_slots(probabilities.withColumn("v", F.log("p")), "gram", "v")),
-                    SlotTable(*sorted_slots(gammas.withColumn("v", F.log("gamma")), "context", "v")),
-                )
+        self.levels = [
+            (
+                hash_arrays(probabilities.select("lang", hash_of("gram").alias("hash"), F.log("p").alias("v"))),
+                hash_arrays(gammas.select("lang", hash_of("context").alias("hash"), F.log("gamma").alias("v"))),
             )
+            for probabilities, gammas in tables
+        ]
 
     def log_perplexity(self, text: str | None, lang: str) -> float | None:
         """Mean negative log-probability of a byte; None for a text without words."""
@@ -267,28 +279,68 @@ class HashedModel:
     def _log_probability(self, found: np.ndarray, lang: str) -> float:
         total, weight = 0.0, np.zeros(len(found), np.float32)
         for k in range(self.order, 0, -1):
-            probabilities, gammas = self.levels[k - 1]
-            logs = probabilities[slots(found, lang)]
+            probabilities, gammas = (side.get(lang, NOTHING) for side in self.levels[k - 1])
+            logs = probabilities[hashed(found)]
             unknown = np.isnan(logs)
             if not unknown.any():
                 return total + float((logs + weight).sum(dtype=np.float64))
             total += float((logs + weight)[~unknown].sum(dtype=np.float64))
             found, weight = found[unknown], weight[unknown]
-            weight += np.nan_to_num(gammas[slots(found >> np.uint64(8), lang)], nan=0.0)
+            weight += np.nan_to_num(gammas[hashed(found >> np.uint64(8))], nan=0.0)
             found = found & np.uint64((1 << 8 * (k - 1)) - 1)
         return total + float((weight - np.float32(np.log(256))).sum(dtype=np.float64))
 
 
-def perplexity(spark: SparkSession, model: HashedModel):
-    held = spark.sparkContext.broadcast(model)
+def _block_part(spark: SparkSession, arrays: dict[str, HashArrays], block: int, blocks: int, order: int):
+    """Column function (text, lang): what the n-grams of one block of hashes add to the log-perplexity."""
+    held = spark.sparkContext.broadcast(arrays)
+
+    def part(text: str | None, lang: str) -> float | None:
+        total, n = 0.0, 0
+        for found in gram_parts(text, order):
+            n += len(found)
+            wanted = hashed(found)
+            if blocks > 1:
+                wanted = wanted[(wanted >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32) == np.uint64(block)]
+            if len(wanted):
+                total += float(held.value[lang][wanted].sum(dtype=np.float64))
+        return -total / n if n else None
 
     @F.arrow_udf(T.DoubleType())
-    def log_perplexity(text: pa.Array, lang: pa.Array) -> pa.Array:
-        return pa.array(
-            [held.value.log_perplexity(t.as_py(), g.as_py() or "") for t, g in zip(text, lang)], pa.float64()
-        )
+    def block_part(text: pa.Array, lang: pa.Array) -> pa.Array:
+        return pa.array([part(t.as_py(), g.as_py() or "") for t, g in zip(text, lang)], pa.float64())
+
+    return block_part
 
-    return log_perplexity
+
+def log_perplexities(texts: DataFrame, tables: list[tuple[DataFrame, DataFrame]], block: int | None = None) -> DataFrame:
+    """`texts` (doc_id, text, lang) with their five counts and log-perplexity, without the text.
+
+    Every n-gram of these texts was counted, so the highest order, which has the lower ones interpolated into it,
+    gives all of them. It is cut by hash into as many blocks of about `block` n-grams as it takes. A block
+    is one broadcast and one pass over the texts, which adds up the n-grams that fall into it.
+    """
+    spark, order = texts.sparkSession, len(tables)
+    model = tables[-1][0].select("lang", hash_of("gram").alias("hash"), F.log("p").alias("v"))
+    blocks = max(-(-tables[-1][0].count() // (block or BLOCK)), 1)
+    own = ["doc_id", "lang"]
+    if blocks > 1:
+        texts = durable(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        own.append("row")
+    place = F.shiftright(F.shiftrightunsigned("hash", 32) * blocks, 32)
+    parts = []
+    for i in range(blocks):
+        arrays = hash_arrays(model.filter(place == i) if blocks > 1 else model)
+        part = _block_part(spark, arrays, i, blocks, order)("text", "lang").alias("log_perplexity")
+        if i == 0:
+            scored = durable(texts.select(*own, base("text").alias("base"), part), "scored")
+        else:
+            parts.append(durable(texts.select("row", part), "scored_block"))
+    if parts:
+        every = reduce(DataFrame.unionByName, parts, scored.select("row", "log_perplexity"))
+        summed = every.groupBy("row").agg(F.sum("log_perplexity").alias("log_perplexity"))
+        scored = durable(scored.drop("log_perplexity").join(summed, "row"), "scored")
+    return scored.select("doc_id", "lang", "base.*", "log_perplexity")
 
 
 def quality_rules(docs: DataFrame, lower: float = LOWER_BAND, upper: float = UPPER_BAND) -> DataFrame:
@@ -299,17 +351,10 @@ def quality_rules(docs: DataFrame, lower: float = LOWER_BAND, upper: float = UPP
     repeated rows count as often as they come. An empty table gives no row. Columns other than
     doc_id, text and lang are not read. Bands come from documents that pass the base rules.
     """
-    spark, texts = docs.sparkSession, docs.select("doc_id", "text", "lang")
-    model = HashedModel(model_tables(texts))
-    score = perplexity(spark, model)
-    scored = durable(
-        texts.select("doc_id", "lang", base("text").alias("base"), score("text", "lang").alias("log_perplexity"))
-        .select("doc_id", "lang", "base.*", "log_perplexity")
-        .withColumn(
-            "base_failed",
-            (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        ),
-        "scored",
+    texts = docs.select("doc_id", "text", "lang")
+    scored = log_perplexities(texts, model_tables(texts)).withColumn(
+        "base_failed",
+        (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     )
     sound = scored.filter(~F.col("base_failed"))
     middle = sound.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("middle"))

@@ -182,6 +182,29 @@ def test_perplexity_equals_textbook(spark, seen):
     assert model.log_perplexity(" ", "en") is None
 
 
+@pytest.mark.parametrize("block", [None, 5000])
+def test_no_two_ngrams_share_a_probability(spark, block):
+    """30,000 n-grams or so, in one block or several: each keeps its own, whatever else has a hash near its own."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghij ")) for _ in range(int(n))) for n in rng.integers(10, 200, 300)]
+    rows = [(i, t, "fr" if i % 3 == 0 else "en") for i, t in enumerate(texts)] + [(900, None, "en"), (901, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in quality.log_perplexities(docs, quality.model_tables(docs), block).collect()}
+    want = {g: plain_kneser_ney([t for _, t, of in rows if of == g and t], quality.ORDER) for g in ("en", "fr")}
+    for i, text, lang in rows[:-2]:
+        assert got[i].log_perplexity == pytest.approx(want[lang](text), rel=1e-6) if text.strip() else got[i].log_perplexity is None
+    assert got[900].log_perplexity is None and got[901].log_perplexity is None
+    assert len(got) == len(rows)
+
+
+def test_a_hash_that_is_not_stored_is_a_miss():
+    stored = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 50_000, np.uint64) * np.uint64(2) + np.uint64(1))
+    stored = np.append(stored, ~np.uint64(0))
+    arrays = quality.HashArrays(stored, np.arange(len(stored), dtype=np.float32))
+    assert (arrays[stored] == np.arange(len(stored))).all()
+    assert np.isnan(arrays[stored - np.uint64(1)]).all() and np.isnan(quality.NOTHING[stored]).all()
+
+
 def test_quality_rules_edge_cases(spark):
     sound = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     noise = "".join(chr(97 + 7 * i * i % 26 + 0) if i % 5 else " " + chr(0x4E00 + i * 37 % 4000) for i in range(1500))
