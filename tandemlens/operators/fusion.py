@@ -153,6 +153,8 @@ KINDS: dict[str, Callable] = {
 }
 
 
+#: Rows that are fused at once: what a worker holds in between does not grow with the Arrow batch.
+ROWS = 512
 #: Weights beyond this are refused: every Python worker holds them.
 MOST_BYTES = 1 << 30
 
@@ -173,7 +175,11 @@ def fused(kind: str, weights: Weights) -> Callable[[Column, Column], Column]:
     def apply(kg: pd.Series, dense: pd.Series) -> pd.Series:
         if not len(kg):
             return pd.Series([], dtype=object)
-        return pd.Series(list(combine(np.vstack(kg), np.vstack(dense), held.value)))
+        parts = (
+            combine(np.vstack(kg[at : at + ROWS]), np.vstack(dense[at : at + ROWS]), held.value)
+            for at in range(0, len(kg), ROWS)
+        )
+        return pd.Series([row for part in parts for row in part])
 
     return apply
 

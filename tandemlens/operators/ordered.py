@@ -132,10 +132,17 @@ def top_per_group(
     """First `n` rows of each group, in an `order` that ends in a unique key.
 
     For a small `n`, Spark prunes to `n` rows per group and task before the shuffle.
-    For a large one that is still too much for one task, so the rows are ranked instead.
+    For a large one that is still too much for one task: the rows are dealt to SALTS places of their
+    group, each place keeps its first `n`, and these, written once, are ranked.
     """
     if n > PRUNE_ROWS:
-        return running_totals(df, groups, order, rank=rank).where(F.col(rank) <= n)
+        keys = [f"_o{i}" for i in range(len(order))]
+        keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys)])
+        place = Window.partitionBy(*groups, "_salt").orderBy(*keys)
+        dealt = keyed.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+        first = dealt.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n)
+        df, order = durable(first.drop("_salt", "_n"), "first-rows"), [F.col(k) for k in keys]
+        return running_totals(df, groups, order, rank=rank).where(F.col(rank) <= n).drop(*keys)
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 

@@ -21,6 +21,7 @@ from tandemlens.operators import qa
 from tandemlens.operators.ordered import running_totals
 from tandemlens.plans.catalog import query
 from tandemlens.plans.inputs import QA_SQL, documents, qa_examples, qa_turns
+from tandemlens.session import durable
 from tandemlens.sources.tables import table
 
 TOKENS_SQL = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
@@ -187,7 +188,7 @@ def _pairs(spark, root):
     corpus = table(spark, root, "part").select(
         F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")
     )
-    return qa.retrieval_pairs(queries, qrels, corpus)
+    return qa.retrieval_pairs(queries, durable(qrels, "qrels"), corpus)  # read three times
 
 
 @query(
