@@ -79,6 +79,15 @@ _ALL: weakref.WeakValueDictionary[int, Chunks] = weakref.WeakValueDictionary()
 _TURN: list[str] = [""]
 
 
+def take_turn(owner: str) -> None:
+    """What an operator calls that starts in this worker: the caches of those before it are emptied."""
+    if _TURN[0] != owner:
+        _TURN[0] = owner
+        for other in list(_ALL.values()):
+            if other.owner != owner:
+                other.clear()
+
+
 class Chunks(dict):
     """Chunk -> what `make` gives for it, filled on demand, up to CACHE_BYTES for each `owner` and worker."""
 
@@ -101,11 +110,7 @@ class Chunks(dict):
 
     def trim(self) -> bool:
         """Between texts: empty it if it has grown too large, and the caches of operators before this one."""
-        if _TURN[0] != self.owner:
-            _TURN[0] = self.owner
-            for other in list(_ALL.values()):
-                if other.owner != self.owner:
-                    other.clear()
+        take_turn(self.owner)
         full = self.held > CACHE_BYTES
         if full:
             self.clear()
