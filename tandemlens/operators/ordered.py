@@ -126,23 +126,35 @@ def _in_ranges(df, groups, keys, sums, prior_max, rank, total, limit):
     )
 
 
+def _first_of_places(keyed: DataFrame, groups: Sequence[str], keys: Sequence[str], places: int, most: int) -> DataFrame:
+    """The first `most` rows of each of a group's `places`, with their number `_n` there; written once."""
+    place = Window.partitionBy(*groups, "_salt").orderBy(*keys)
+    dealt = keyed.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(places)))
+    first = dealt.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most)
+    return durable(first.drop("_salt"), "first-rows")
+
+
 def top_per_group(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
     """First `n` rows of each group, in an `order` that ends in a unique key.
 
     For a small `n`, Spark prunes to `n` rows per group and task before the shuffle.
-    For a large one that is still too much for one task: the rows are dealt to SALTS places of their
-    group, each place keeps its first `n`, and these, written once, are ranked.
+    For a large one the rows are dealt to places of their group, so many that about PRUNE_ROWS / 2 of the
+    first `n` fall to each; Spark prunes each place to PRUNE_ROWS, and the rows left, written once, are
+    ranked. A full place whose last row ranks before `n` may have lost a row that belongs; then every
+    place keeps its first `n`.
     """
     if n > PRUNE_ROWS:
         keys = [f"_o{i}" for i in range(len(order))]
         keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys)])
-        place = Window.partitionBy(*groups, "_salt").orderBy(*keys)
-        dealt = keyed.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
-        first = dealt.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= n)
-        df, order = durable(first.drop("_salt", "_n"), "first-rows"), [F.col(k) for k in keys]
-        return running_totals(df, groups, order, rank=rank).where(F.col(rank) <= n).drop(*keys)
+        places, most = -(-2 * n // PRUNE_ROWS), PRUNE_ROWS
+        first = _first_of_places(keyed, groups, keys, places, most)
+        ranked = running_totals(first, groups, [F.col(k) for k in keys], rank=rank)
+        if not ranked.where((F.col("_n") == most) & (F.col(rank) < n)).isEmpty():
+            first = _first_of_places(keyed, groups, keys, SALTS, n)
+            ranked = running_totals(first, groups, [F.col(k) for k in keys], rank=rank)
+        return ranked.where(F.col(rank) <= n).drop("_n", *keys)
     window = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 

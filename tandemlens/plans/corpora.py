@@ -174,7 +174,7 @@ PAIRS_SQL = """(
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)"""
 
 
-def _pairs(spark, root):
+def _judged(spark, root):
     """Orders are the queries, line items the judgements and parts the corpus."""
     queries = table(spark, root, "orders").select(
         F.col("o_orderkey").alias("query_id"),
@@ -188,6 +188,11 @@ def _pairs(spark, root):
     corpus = table(spark, root, "part").select(
         F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")
     )
+    return queries, qrels, corpus
+
+
+def _pairs(spark, root):
+    queries, qrels, corpus = _judged(spark, root)
     return qa.retrieval_pairs(queries, durable(qrels, "qrels"), corpus)  # read three times
 
 
@@ -209,9 +214,10 @@ QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY query_id, passage_id) <
 )
 def ir_pairs_capped(spark, root):
     """At most 10,000 pairs per dataset; the order priority names the dataset."""
-    dataset = F.regexp_replace("query", " [A-Z]$", "").alias("dataset")
-    pairs = _pairs(spark, root).select(dataset, "query_id", "passage_id", "relevance")
-    return qa.cap_pairs(pairs, "dataset", [F.col("query_id"), F.col("passage_id")])
+    queries, qrels, corpus = _judged(spark, root)
+    dataset = F.regexp_replace("text", " [A-Z]$", "")
+    pairs = qa.first_retrieval_pairs(queries.withColumn("dataset", dataset), qrels, corpus, "dataset")
+    return pairs.select("dataset", "query_id", "passage_id", "relevance")
 
 
 @query(

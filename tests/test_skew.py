@@ -8,7 +8,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
-from tandemlens.operators import qa, ranking
+from tandemlens.operators import ordered, qa, ranking
 from tandemlens.operators.limits import break_after_batch, first_n
 from tandemlens.operators.ordered import lookup, running_totals, top_per_group
 
@@ -137,3 +137,37 @@ def test_break_after_batch_keeps_one_row_of_every_later_file(spark):
             if done >= 15:
                 break
     assert kept == want
+
+
+def test_top_per_group_writes_about_twice_n(spark, monkeypatch):
+    """Not every row of a group goes through the shuffle and to disk for its first n."""
+    written = []
+    plain = ordered.durable
+    monkeypatch.setattr(ordered, "durable", lambda df, name: written.append((name, df.count())) or plain(df, name))
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id"))
+    assert sorted(r.id for r in top_per_group(df, ["g"], [F.col("id")], 1500).collect()) == list(range(1500))
+    assert max(n for name, n in written if name == "first-rows") <= 3000
+
+
+@pytest.mark.parametrize("prune", [2, 10, 30])
+def test_top_per_group_with_uneven_places(spark, monkeypatch, prune):
+    monkeypatch.setattr(ordered, "PRUNE_ROWS", prune)
+    df = spark.range(900).select((F.col("id") % 7).alias("g"), F.col("id"))
+    got = sorted((r.g, r.id, r["rank"]) for r in top_per_group(df, ["g"], [F.col("id")], 60).collect())
+    assert got == [(g, g + 7 * i, i + 1) for g in range(7) for i in range(60)]
+
+
+@pytest.mark.parametrize("n", [3, 40, 10_000])
+def test_first_pairs_when_first_queries_have_none(spark, n):
+    """Queries without a judgement or with a missing passage give no pair; later ones do."""
+    rows = [(q, f"t{q}", None if q % 2 else "even") for q in range(400)]
+    queries = spark.createDataFrame(rows, "query_id int, text string, dataset string")
+    judged = [(q, d, q * d % 3) for q in range(100, 400) for d in range(q % 4)]
+    qrels = spark.createDataFrame(judged, "query_id int, doc_id int, relevance int")
+    corpus = spark.createDataFrame([(0, "a"), (2, None)], "doc_id int, text string")
+    got = qa.first_retrieval_pairs(queries, qrels, corpus, "dataset", n).collect()
+    want = []
+    for name in (None, "even"):
+        own = [j for j in sorted(judged) if j[1] != 1 and rows[j[0]][2] == name]
+        want += [(name, *j) for j in own[:n]]
+    assert sorted(map(str, want)) == sorted(str((r.dataset, r.query_id, r.passage_id, r.relevance)) for r in got)
