@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from functools import partial
 
 import pytest
 
@@ -90,3 +91,32 @@ def test_no_documents_or_queries(spark):
     assert bm25_search(bm25_index(none, "doc_id", "text"), asked, 3).count() == 0
     index = bm25_index(spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text")
     assert bm25_search(index, asked.limit(0), 3).count() == 0
+
+
+def test_blocks_are_made_without_a_shuffle(spark, monkeypatch):
+    plans = {}
+    plain = retrieval.durable
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(retrieval, "durable", kept)
+    bm25_index(spark.createDataFrame(corpus()[0], "doc_id int, text string"), "doc_id", "text", span=16)
+    assert "Exchange" not in plans["bm25-blocks"]
+
+
+def test_terms_with_several_blocks_in_a_range(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_blocks", partial(_small_pieces, retrieval._blocks))
+    docs, queries = corpus(150, 3)
+    compared(spark, docs, queries, 4, seed=30)
+
+
+def _small_pieces(made, *args):
+    """The blocks of batches of three documents each."""
+    blocks = made(*args)
+
+    def of(batches):
+        return blocks(b.slice(at, 3) for b in batches for at in range(0, b.num_rows, 3))
+
+    return of
