@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tandemlens.operators import retrieval
 from tandemlens.plans.catalog import query, rounded
+from tandemlens.session import durable, fits_broadcast
 from tandemlens.sources.tables import table
 
 TOP = 10
@@ -47,7 +48,9 @@ def bm25_passage_recall(spark, root):
     """How often a document that holds the item word for word is among the ten best, and how high."""
     items = table(spark, root, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     texts = table(spark, root, "documents").select("doc_id", "text")
-    held = _found(spark, root).join(texts, "doc_id").join(items, "query_id")
+    found = durable(_found(spark, root), "found")  # counted, so that whole texts are not shuffled for it
+    found = F.broadcast(found) if fits_broadcast(found) else found
+    held = texts.join(found, "doc_id").join(items, "query_id")
     held = held.filter(F.contains("text", "item")).groupBy("query_id").agg(F.min("rank").alias("rank"))
     per_item = items.join(held, "query_id", "left")
     return rounded(
