@@ -11,6 +11,7 @@ from __spark_entry__ import oracle_sql, queries
 from tandemlens.operators import ordered, qa, ranking
 from tandemlens.operators.limits import break_after_batch, first_n
 from tandemlens.operators.ordered import lookup, running_totals, top_per_group
+from tandemlens.plans import inputs
 
 HOT_QUERIES = [
     "roc_auc",
@@ -171,3 +172,19 @@ def test_first_pairs_when_first_queries_have_none(spark, n):
         own = [j for j in sorted(judged) if j[1] != 1 and rows[j[0]][2] == name]
         want += [(name, *j) for j in own[:n]]
     assert sorted(map(str, want)) == sorted(str((r.dataset, r.query_id, r.passage_id, r.relevance)) for r in got)
+
+
+@pytest.mark.parametrize("rows", [50, 600, 5000])
+def test_ranked_lists_dealt_by_query(spark, monkeypatch, rows):
+    """Some, all or no queries have more rows than a task is to hold."""
+    monkeypatch.setattr(inputs, "TASK_ROWS", rows)
+    con = connect(DATA)
+    for name in ("topk_per_query", "recall_at_100"):
+        problem, _, _ = compare(spark, con, name, queries()[name], oracle_sql()[name], DATA)
+        assert problem is None, problem
+
+
+def test_top_k_of_ranked_lists_takes_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_ROWS", 5000)
+    plan = ranking.top_k(inputs.ranked(spark, DATA), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
