@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,19 +168,28 @@ def _held(weights: Weights):
     return SparkSession.active().sparkContext.broadcast(weights)
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows, without a copy."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def fused(kind: str, weights: Weights) -> Callable[[Column, Column], Column]:
-    """Column function (kg, dense) -> fused vector."""
+    """Column function (kg, dense) -> fused vector. No row becomes a Python object."""
     combine, held = KINDS[kind], _held(weights)
 
-    @F.pandas_udf(VECTOR)
-    def apply(kg: pd.Series, dense: pd.Series) -> pd.Series:
+    @F.arrow_udf(VECTOR)
+    def apply(kg: pa.Array, dense: pa.Array) -> pa.Array:
         if not len(kg):
-            return pd.Series([], dtype=object)
-        parts = (
-            combine(np.vstack(kg[at : at + ROWS]), np.vstack(dense[at : at + ROWS]), held.value)
-            for at in range(0, len(kg), ROWS)
-        )
-        return pd.Series([row for part in parts for row in part])
+            return pa.array([], pa.list_(pa.float64()))
+        if kg.null_count or dense.null_count:
+            raise ValueError("a vector is missing")
+        left, right, out = _matrix(kg), _matrix(dense), None
+        for at in range(0, len(left), ROWS):
+            part = combine(left[at : at + ROWS], right[at : at + ROWS], held.value)
+            out = np.empty((len(left), part.shape[1])) if out is None else out
+            out[at : at + ROWS] = part
+        offsets = pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
 
     return apply
 

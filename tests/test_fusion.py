@@ -76,3 +76,10 @@ def test_stream_over_several_files_equals_the_batch(spark, tmp_path):
     from tandemlens.operators.binary import binary_metrics
 
     assert {tuple(r) for r in got} == {tuple(r) for r in binary_metrics(df, "s", "y", ["g"]).collect()}
+
+
+def test_fused_vectors_stay_in_arrow(spark):
+    from pyspark.util import PythonEvalType
+
+    apply = fusion.fused("cross_attention", fusion.pattern_weights("cross_attention", 4))
+    assert apply.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
