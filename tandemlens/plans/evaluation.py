@@ -311,14 +311,7 @@ def answer_em_f1(spark, root):
         .otherwise(F.coalesce("question", F.lit("")))
     )
     pairs = gold.select("conv_id", "turn", text.alias("gold"), given.alias("given"))
-    return rounded(
-        pairs.select(
-            "conv_id",
-            "turn",
-            answers.exact_match(F.col("given"), F.col("gold")).alias("exact_match"),
-            answers.token_f1(F.col("given"), F.col("gold")).alias("token_f1"),
-        )
-    )
+    return rounded(answers.with_scores(pairs, "given", "gold").drop("given", "gold"))
 
 
 @query(

@@ -27,3 +27,8 @@ def test_entry_has_rows(spark):
 def test_query_matches_sql(spark, duck, name):
     problem, _, _ = compare(spark, duck, name, queries()[name], oracle_sql().get(name), DATA)
     assert problem is None or (problem == "no rows" and name in EMPTY_AT_SMALLEST), problem
+
+
+def test_answers_are_normalised_once(spark):
+    plan = queries()["answer_em_f1"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 6  # three for each of two texts
