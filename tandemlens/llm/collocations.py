@@ -14,8 +14,8 @@ through too much, which costs counting but changes no result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,15 @@ FACTOR = 2_000_000
 TOP = 2_000
 #: Bytes of text that share a word list.
 BATCH_BYTES = 8 << 20
-#: Words of a list, or tokens, in one row (a piece is not cut, however long).
-ROW_WORDS, ROW_TOKENS = 20_000, 1 << 16
+#: Words of a list, or tokens, in one row (a piece is not cut, however long): Parquet makes pages of 100 rows at least.
+ROW_WORDS, ROW_TOKENS = 2_000, 1 << 13
 #: N-grams that a task counts before it passes its filter on, and that a merged range has at most, about.
 HELD = 1_000_000
 RANGE = 1_000_000
+#: Tokens that a task counts at once.
+COUNTED = 1 << 16
+#: Texts, rows, ranges or phrases that are handed on, or made into Python's objects, at once.
+TEXTS, ROWS, SEGMENTS, PHRASES = 256, 64, 256, 1 << 16
 #: Least bits of a quotient, where keys have as many.
 QUOTIENT = 16
 #: Bits that index the bitmap of frequent phrases (2^26 bits are 8 MB).
@@ -84,6 +88,25 @@ def joined_runs(numbers: np.ndarray) -> np.ndarray:
     return numbers[keep]
 
 
+def stored(numbers: np.ndarray) -> bytes:
+    """The numbers in as few bytes each as they need (1, 2 or 4), which the first byte tells."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind.newbyteorder("<")).tobytes()
+
+
+def numbers_of(data: pa.Buffer | bytes) -> np.ndarray:
+    """What `stored` was given."""
+    kind = memoryview(data)[0]
+    return np.frombuffer(data, f"<u{kind}", offset=1).astype(np.int32)
+
+
+def in_batches(rows: Iterable[tuple], kinds: list[pa.DataType], names: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows, at most `most` in a batch."""
+    rows = iter(rows)
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
+
+
 def rows_of_tokens(numbers: np.ndarray) -> Iterator[np.ndarray]:
     """Cut behind breaks, about ROW_TOKENS each."""
     breaks, start = np.flatnonzero(numbers == 0), 0
@@ -96,18 +119,18 @@ def rows_of_tokens(numbers: np.ndarray) -> Iterator[np.ndarray]:
 
 def word_lists(docs: DataFrame) -> DataFrame:
     """(batch, lang, first, words, counts, tokens): rows of a batch's word list, and rows of its texts as numbers."""
-    schema = "batch bigint, lang string, first int, words array<string>, counts array<bigint>, tokens array<int>"
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    schema = "batch bigint, lang string, first int, words array<string>, counts array<bigint>, tokens binary"
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
     names = ["batch", "lang", "first", "words", "counts", "tokens"]
 
-    def row(*values) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(rows_of(batches), kinds, names, ROWS)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: dict[str, Words] = {}
         batch = TaskContext.get().partitionId() << 33
 
-        def written() -> Iterator[pa.RecordBatch]:
+        def written() -> Iterator[tuple]:
             nonlocal batch
             for lang, words in held.items():
                 batch += 1
@@ -115,13 +138,14 @@ def word_lists(docs: DataFrame) -> DataFrame:
                 counts = np.bincount(numbers, minlength=len(words) - 1)[1:]
                 texts = [w.decode() for w in list(words)[2:]]
                 for at in range(0, len(texts), ROW_WORDS):
-                    yield row(batch, lang, at + 1, texts[at : at + ROW_WORDS], counts[at : at + ROW_WORDS], None)
+                    yield batch, lang, at + 1, texts[at : at + ROW_WORDS], counts[at : at + ROW_WORDS], None
                 for part in rows_of_tokens(joined_runs(numbers)):
-                    yield row(batch, lang, None, None, None, part)
+                    yield batch, lang, None, None, None, stored(part)
             held.clear()
 
         size = 0
-        for got in batches:
+        texts = (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS))
+        for got in texts:
             for text, lang in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
                 held.setdefault("und" if lang is None else lang, Words()).add(text or "")
                 size += len(text or "")
@@ -145,7 +169,7 @@ def vocabulary(lists: DataFrame, least: int) -> DataFrame:
 
 
 def numbered(lists: DataFrame, words: DataFrame) -> DataFrame:
-    """(tokens): the texts as ids of `words`, all others being breaks (0).
+    """(n, tokens): the texts as `n` stored ids of `words`, all others being breaks (0).
 
     A batch's known words and its texts are dealt to one task, words first, and read as a stream.
     """
@@ -156,6 +180,9 @@ def numbered(lists: DataFrame, words: DataFrame) -> DataFrame:
     both = known.unionByName(texts, allowMissingColumns=True).repartition("batch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(rows_of(batches), [pa.int64(), pa.binary()], ["n", "tokens"], ROWS)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, id_of = None, np.zeros(1, np.int32)
         for rows in batches:
             owner = rows.column(0).to_numpy()
@@ -170,12 +197,12 @@ def numbered(lists: DataFrame, words: DataFrame) -> DataFrame:
                     id_of = np.concatenate([id_of, np.zeros(max(most, 2 * len(id_of)) - len(id_of), np.int32)])
                 id_of[number[start:end]] = ids[start:end]
                 for tokens in rows.column(3).slice(start, end - start).drop_null():
-                    tokens = tokens.values.to_numpy()
+                    tokens = numbers_of(tokens.as_buffer())
                     found = joined_runs(np.where(tokens < len(id_of), id_of[np.minimum(tokens, len(id_of) - 1)], 0))
-                    yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.int32()))], ["tokens"])
+                    yield len(found), stored(found)
 
     streamed = both.sortWithinPartitions("batch", F.col("tokens").isNotNull()).select("batch", "number", "id", "tokens")
-    return durable(streamed.mapInArrow(run, "tokens array<int>"), "numbered")
+    return durable(streamed.mapInArrow(run, "n bigint, tokens binary"), "numbered")
 
 
 def mixed(left: np.ndarray, right: np.ndarray, half: int, undo: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -249,34 +276,46 @@ class QuotientFilter:
 
     @classmethod
     def merged(cls, filters: list[QuotientFilter], half: int) -> QuotientFilter:
-        """One for all; a stable sort of runs that are sorted already only merges them."""
-        left, right, counts = (np.concatenate(x) for x in zip(*((f.left, f.right, f.counts) for f in filters)))
+        """One for all, which empties the list; a stable sort of runs that are sorted already only merges them."""
+        counts = np.concatenate([f.counts for f in filters])
         if 2 * half <= 64:
-            order = np.argsort(left << np.uint64(half) | right, kind="stable")
+            key = np.concatenate([f.left << np.uint64(half) | f.right for f in filters])
+            filters.clear()
+            order = np.argsort(key, kind="stable")
+            key, counts = key[order], counts[order]
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
         else:
+            left, right = (np.concatenate(x) for x in zip(*((f.left, f.right) for f in filters)))
+            filters.clear()
             order = np.lexsort((right, left))
-        left, right, counts = left[order], right[order], counts[order]
-        first = np.ones(len(left), bool)
-        first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+            left, right, counts = left[order], right[order], counts[order]
+            first = np.ones(len(left), bool)
+            first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        del order
         starts = np.flatnonzero(first)
-        return cls(left[starts], right[starts], np.add.reduceat(counts, starts) if len(starts) else counts)
+        counts = np.add.reduceat(counts, starts) if len(starts) else counts
+        if 2 * half > 64:
+            return cls(left[starts], right[starts], counts)
+        key = key[starts]
+        return cls(key >> np.uint64(half), key & np.uint64((1 << half) - 1), counts)
 
     def segments(self, keys: Keys) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
         """(range, n, runs, rest of the left half, right half, counts) of each range of quotients that has keys."""
-        within = keys.quotient_bits - keys.range_bits
-        quotient = self.left >> np.uint64(keys.half - keys.quotient_bits)
-        ranges = (quotient >> np.uint64(within)).astype(np.int64)
-        rest = self.left & np.uint64((1 << keys.half - keys.quotient_bits) - 1)
+        within, below = keys.quotient_bits - keys.range_bits, np.uint64(keys.half - keys.quotient_bits)
+        ranges = (self.left >> np.uint64(keys.half - keys.range_bits)).astype(np.int64)
         starts = np.flatnonzero(np.diff(ranges, prepend=-1))
-        for start, end in zip(starts, [*starts[1:], len(ranges)]):
-            number = int(ranges[start])
-            runs = np.bincount((quotient[start:end] - np.uint64(number << within)).astype(np.int64), minlength=1 << within)
+        numbers, size = ranges[starts].tolist(), len(ranges)
+        del ranges
+        for number, start, end in zip(numbers, starts, [*starts[1:], size]):
+            left = self.left[start:end]
+            runs = np.bincount(((left >> below) - np.uint64(number << within)).astype(np.int64), minlength=1 << within)
             counts = self.counts[start:end].astype(np.uint64)
             yield (
                 number,
                 int(end - start),
                 trimmed(runs.astype(np.uint64), int(runs.max()).bit_length()),
-                trimmed(rest[start:end], keys.half - keys.quotient_bits),
+                trimmed(left & np.uint64((1 << int(below)) - 1), int(below)),
                 trimmed(self.right[start:end], keys.half),
                 trimmed(counts, int(counts.max()).bit_length()),
             )
@@ -301,68 +340,102 @@ def begins(tokens: np.ndarray, order: int, bits: int, frequent: dict[int, np.nda
     return at
 
 
+def joined_rows(rows: Iterable[pa.BinaryScalar]) -> Iterator[np.ndarray]:
+    """The ids of stored rows, about COUNTED at once; each row ends with a break."""
+    some, size = [], 0
+    for row in rows:
+        some.append(numbers_of(row.as_buffer()))
+        size += len(some[-1])
+        if size >= COUNTED:
+            yield np.concatenate(some)
+            some, size = [], 0
+    if size:
+        yield np.concatenate(some)
+
+
+def counted_ranges(batches: Iterator[pa.RecordBatch], keys: Keys, frequent: dict) -> Iterator[pa.RecordBatch]:
+    """(range, n, runs, rest, right, counts): filters of the n-grams of a task's rows (tokens), cut into ranges."""
+    names = ["range", "n", "runs", "rest", "right", "counts"]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    filters, size = [], 0
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        return in_batches(QuotientFilter.merged(filters, keys.half).segments(keys), kinds, names, SEGMENTS)
+
+    for tokens in joined_rows(row for b in batches for row in b.column(0)):
+        left, right = keys.of(tokens, at := begins(tokens, keys.order, keys.bits, frequent))
+        if not len(at):
+            continue
+        filters.append(QuotientFilter.merged([QuotientFilter(left, right, np.ones(len(left), np.int64))], keys.half))
+        size += len(filters[-1])
+        if size >= HELD:
+            filters = [QuotientFilter.merged(filters, keys.half)]
+            size = len(filters[0])
+            if size >= HELD // 2:
+                yield from passed_on()
+                size = 0
+    if filters:
+        yield from passed_on()
+
+
+def merged_ranges(batches: Iterator[pa.RecordBatch], keys: Keys, least: int) -> Iterator[pa.RecordBatch]:
+    """(ids, a, range, bits): frequent phrases of each range, up to PHRASES at once, and its part of the bitmap.
+
+    `batches` are rows of `counted_ranges`, in order of their ranges.
+    """
+    now, filters, size, most = None, [], 0, 2 * RANGE
+
+    def row(ids: pa.Array, a: pa.Array, number: int | None, bits: bytes | None) -> pa.RecordBatch:
+        more = [pa.array([x] * len(ids), k) for x, k in ((number, pa.int32()), (bits, pa.binary()))]
+        return pa.RecordBatch.from_arrays([ids, a, *more], ["ids", "a", "range", "bits"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        all_of = QuotientFilter.merged(filters, keys.half)
+        often = all_of.counts >= least
+        left, right, counts = all_of.left[often], all_of.right[often], all_of.counts[often]
+        del all_of, often
+        for at in range(0, len(counts), PHRASES):
+            words = keys.words(left[at : at + PHRASES], right[at : at + PHRASES])
+            ends = np.arange(0, words.size + 1, keys.order, dtype=np.int32)
+            yield row(pa.ListArray.from_arrays(ends, words.ravel()), pa.array(counts[at : at + PHRASES]), None, None)
+        if not len(counts):
+            return
+        wide = keys.places >> keys.range_bits  # bits of this range; ranges may also be finer than the bitmap
+        bits = np.zeros(max(wide, 1), bool)
+        bits[(keys.bit(left) - (now * keys.places >> keys.range_bits))] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        yield row(pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.int64()), now, packed)
+
+    for rows in batches:
+        ranges, sizes = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        for i in range(rows.num_rows):
+            if ranges[i] != now and filters:
+                yield from done()
+                size, most = 0, 2 * RANGE
+            now = int(ranges[i])
+            data = (rows.column(c)[i].as_buffer() for c in range(2, 6))
+            filters.append(QuotientFilter.of_segment(keys, now, int(sizes[i]), *data))
+            size += int(sizes[i])
+            if size >= most:  # a key in many filters
+                filters = [QuotientFilter.merged(filters, keys.half)]
+                size = len(filters[0])
+                most = max(2 * RANGE, 2 * size)
+    if filters:
+        yield from done()
+
+
 def frequent_phrases(numbered_: DataFrame, keys: Keys, frequent: dict, least: int) -> tuple[DataFrame, np.ndarray]:
     """(ids, a) of all phrases of keys.order words found at least `least` times, and their bitmap."""
     held = numbered_.sparkSession.sparkContext.broadcast(frequent)
-    names = ["range", "n", "runs", "rest", "right", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, size = [], 0
-
-        def passed_on() -> pa.RecordBatch:
-            columns = zip(*QuotientFilter.merged(filters, keys.half).segments(keys))
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-        for tokens in chain.from_iterable(b.column(0) for b in batches):
-            tokens = tokens.values.to_numpy()
-            left, right = keys.of(tokens, at := begins(tokens, keys.order, keys.bits, held.value))
-            if not len(at):
-                continue
-            filters.append(QuotientFilter.merged([QuotientFilter(left, right, np.ones(len(left), np.int64))], keys.half))
-            size += len(filters[-1])
-            if size >= HELD:
-                filters = [QuotientFilter.merged(filters, keys.half)]
-                size = len(filters[0])
-                if size >= HELD // 2:
-                    yield passed_on()
-                    filters, size = [], 0
-        if filters:
-            yield passed_on()
+        return counted_ranges(batches, keys, held.value)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, filters = None, []
-
-        def done() -> pa.RecordBatch:
-            all_of = QuotientFilter.merged(filters, keys.half)
-            often = all_of.counts >= least
-            left, right, counts = all_of.left[often], all_of.right[often], all_of.counts[often]
-            wide = keys.places >> keys.range_bits  # bits of this range; ranges may also be finer than the bitmap
-            bits = np.zeros(max(wide, 1), bool)
-            bits[(keys.bit(left) - (now * keys.places >> keys.range_bits))] = True
-            ids = pa.array([*keys.words(left, right).tolist(), None], pa.list_(pa.int32()))
-            packed = np.packbits(bits, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array([*counts.tolist(), None], pa.int64()),
-                    pa.array([None] * len(counts) + [now], pa.int32()),
-                    pa.array([None] * len(counts) + [packed if often.any() else None], pa.binary()),
-                ],
-                ["ids", "a", "range", "bits"],
-            )
-
-        for row in chain.from_iterable(b.to_pylist() for b in batches):
-            if row["range"] != now and filters:
-                yield done()
-                filters = []
-            now = row["range"]
-            filters.append(QuotientFilter.of_segment(keys, *(row[name] for name in names)))
-        if filters:
-            yield done()
+        return merged_ranges(batches, keys, least)
 
     kinds = "range int, n int, runs binary, rest binary, right binary, counts binary"
-    counted = numbered_.mapInArrow(count, kinds)
+    counted = numbered_.select("tokens").mapInArrow(count, kinds)
     placed = counted.repartition("range").sortWithinPartitions("range")
     found = durable(placed.mapInArrow(merge, "ids array<int>, a bigint, range int, bits binary"), "phrases")
     held.destroy()
@@ -403,7 +476,7 @@ def collocations(
     texts = numbered(lists, words)
     sizes = words.agg(F.max("id").alias("ids"), F.count("*").alias("words")).first()
     bits = max(int(sizes["ids"] or 0).bit_length(), 1)
-    tokens = texts.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+    tokens = texts.agg(F.sum("n").alias("n")).first()["n"] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(parts - 1, tokens // RANGE).bit_length()
     frequent, phrases = {}, None

@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 
@@ -134,6 +136,60 @@ def test_filters_lose_nothing(order, bits, ranges):
     assert got == want
 
 
+@pytest.mark.parametrize("top", [0, 1, 255, 256, 65_535, 65_536, 2**31 - 1])
+def test_stored_numbers(top):
+    numbers = np.array([0, top, 3 % (top + 1)], np.int32)
+    assert (module.numbers_of(module.stored(numbers)) == numbers).all()
+    assert len(module.numbers_of(module.stored(numbers[:0]))) == 0
+
+
+def test_rows_are_counted_together(monkeypatch):
+    monkeypatch.setattr(module, "COUNTED", 5)
+    rows = [[1, 2, 0], [3, 0], [4, 5, 6, 7, 8, 0], [], [9, 0]]
+    stored = pa.array([module.stored(np.array(r, np.int32)) for r in rows])
+    assert [x.tolist() for x in module.joined_rows(stored)] == [[1, 2, 0, 3, 0], [4, 5, 6, 7, 8, 0], [9, 0]]
+    assert list(module.joined_rows([])) == []
+
+
+@pytest.mark.parametrize("half", [32, 40])
+def test_merging_takes_few_bytes_a_key(half):
+    n, rng = 300_000, np.random.default_rng(half)
+    filters = [
+        QuotientFilter(*(rng.integers(0, 1 << half, n // 10, dtype=np.uint64) for _ in range(2)), np.ones(n // 10, np.int64))
+        for _ in range(10)
+    ]
+    tracemalloc.start()
+    merged = QuotientFilter.merged(filters, half)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merged) == n and peak < 90 * n
+
+
+def test_frequent_phrases_of_a_range_come_in_arrays(monkeypatch):
+    """Every phrase frequent: no list for each, at most PHRASES in one batch, and the counts of a plain loop."""
+    monkeypatch.setattr(module, "HELD", 5000)
+    keys, rng = Keys(3, 12, 1), np.random.default_rng(4)
+    tokens = [np.append(rng.integers(1, 200, 60_000), 0).astype(np.int32) for _ in range(3)]
+    want = Counter(tuple(t[i : i + 3].tolist()) for t in tokens for i in range(len(t) - 3))
+    bitmap = {2: np.full(1 << 21, 255, np.uint8)}
+    stored = pa.RecordBatch.from_arrays([pa.array([module.stored(t) for t in tokens])], ["tokens"])
+    counted = pa.Table.from_batches(module.counted_ranges(iter([stored]), keys, bitmap)).sort_by("range").to_batches(500)
+    got, bits, most = Counter(), 0, 0
+    monkeypatch.setattr(module, "PHRASES", 1000)
+    tracemalloc.start()
+    for batch in module.merged_ranges(iter(counted), keys, 1):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        rows = batch.column(0).drop_null().values.to_numpy().reshape(-1, 3)
+        bits += len(batch) - len(rows)
+        assert len(batch) <= 1000
+        tracemalloc.stop()
+        for words, n in zip(rows.tolist(), batch.column(1).to_pylist()):
+            got[tuple(words)] += n
+        tracemalloc.start()
+    tracemalloc.stop()
+    assert got == want and bits == 2 and most < 130 * len(want) / 2
+
+
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text", "lang").collect()]
     assert sorted(tuple(r) for r in op12_collocations(spark, DATA).collect()) == brute(rows)
