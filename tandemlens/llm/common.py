@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,18 @@ from tandemlens.session import fits_broadcast
 
 #: White space of the text contracts: blank, tab, newline, vertical tab, form feed, return.
 SPACE = " \t\n\x0b\x0c\r"
+#: Hashes whose bits are summed at once.
+CHUNK = 1 << 15
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit number of which a bit is 1 if it is set in over half the hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = hashes[i : i + CHUNK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (ones * 2 > len(hashes)).astype(np.uint8)
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
 def named(column: str) -> Column:
