@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tandemlens.llm.common import small
 from tandemlens.llm.registry import query
 from tandemlens.operators.ordered import lookup
 from tandemlens.session import durable
@@ -175,7 +176,7 @@ def numbered(lists: DataFrame, words: DataFrame) -> DataFrame:
     """
     own = lists.filter("words IS NOT NULL").select("batch", "lang", "first", F.posexplode("words").alias("at", "word"))
     own = own.select("batch", "lang", "word", (F.col("first") + F.col("at")).alias("number"))
-    known = own.join(words.select("lang", "word", "id"), ["lang", "word"]).select("batch", "number", "id")
+    known = own.join(small(words.select("lang", "word", "id")), ["lang", "word"]).select("batch", "number", "id")
     texts = lists.filter("tokens IS NOT NULL").select("batch", "tokens")
     both = known.unionByName(texts, allowMissingColumns=True).repartition("batch")
 
